@@ -11,7 +11,8 @@ from kerbside.operators.admission import accepted, decide_reservations, decide_s
 from kerbside.operators.metrics import reservation_deltas, session_deltas, sum_deltas
 from kerbside.operators.slots import set_where_key_in
 
-NO_TEXT = F.lit(None).cast("string")
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _user() -> Column:
@@ -36,7 +37,7 @@ def reservation_tables(taken: DataFrame, as_of) -> dict[str, DataFrame]:
         F.lit("reserved").alias("status"),
         S.as_timestamp(as_of).alias("recorded_at"),
         F.lit(K.RESERVATION_NOTE).alias("note"),
-        NO_TEXT.alias("metadata"),
+        _no_text().alias("metadata"),
     )
     usage = taken.select(
         S.key_of(K.RESERVATION_START, F.col("spot_id"), F.col("seq")).alias("event_id"),
@@ -46,8 +47,8 @@ def reservation_tables(taken: DataFrame, as_of) -> dict[str, DataFrame]:
         F.col("start_at").alias("recorded_at"),
         F.lit(-1).alias("delta_available"),
         F.lit(None).cast("int").alias("occupancy"),
-        NO_TEXT.alias("note"),
-        NO_TEXT.alias("metadata"),
+        _no_text().alias("note"),
+        _no_text().alias("metadata"),
     )
     return {
         "reservations": reservations,
@@ -80,7 +81,7 @@ def session_tables(started: DataFrame, as_of, spot_type: str = "string") -> dict
         S.as_timestamp(as_of).alias("recorded_at"),
         F.lit(None).cast("int").alias("delta_available"),
         F.lit(None).cast("int").alias("occupancy"),
-        NO_TEXT.alias("note"),
+        _no_text().alias("note"),
         F.to_json(F.struct(F.col("station_id").alias("stationId"))).alias("metadata"),
     )
     return {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import constants as K
@@ -57,14 +57,15 @@ def lot_spots(spots: DataFrame, lot_id) -> DataFrame:
     return spots.filter(F.col("lot_id") == F.lit(lot_id))
 
 
-NEWEST_FIRST = [F.col("recorded_at").desc(), F.col("event_id").desc()]
+def _newest_first() -> list[Column]:
+    return [F.col("recorded_at").desc(), F.col("event_id").desc()]
 
 
 def lot_history(events: DataFrame, lot_id, k: int = K.HISTORY_LIMIT) -> DataFrame:
     """The newest ``k`` events of one lot."""
-    return events.filter(F.col("lot_id") == F.lit(lot_id)).orderBy(*NEWEST_FIRST).limit(k)
+    return events.filter(F.col("lot_id") == F.lit(lot_id)).orderBy(*_newest_first()).limit(k)
 
 
 def lot_history_all(events: DataFrame, k: int = K.HISTORY_LIMIT) -> DataFrame:
     """The newest ``k`` events of every lot."""
-    return top_k_per_key(events, ["lot_id"], NEWEST_FIRST, k, spread="event_id")
+    return top_k_per_key(events, ["lot_id"], _newest_first(), k, spread="event_id")

@@ -109,11 +109,11 @@ def merge_metrics(existing: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def last_occupancy(samples: DataFrame) -> DataFrame:
-    """The day's last non-null sample per lot."""
+    """The day's last non-null sample per lot, by arrival."""
     return (
         samples.filter(F.col("sample").isNotNull())
         .groupBy("lot_id", S.utc_day(F.col("sampled_at")).alias("day"))
-        .agg(F.max_by("sample", F.struct("sampled_at", "seq")).alias("avg_occupancy_percent"))
+        .agg(F.max_by("sample", "seq").alias("avg_occupancy_percent"))
     )
 
 

@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.functions import scalars as S
-from kerbside.operators import admission, detail, fanout, lots, metrics, ranking, replay, slots
+from kerbside.operators import admission, detail, fanout, lots, metrics, replay, slots
 from kerbside.sources import adapters as A
 from kerbside.sources import json_state
 from kerbside.sources.tables import append_rows, cut_lineage, flatten_children
@@ -69,7 +70,7 @@ def latest_metric(spark, d):
 def merge_metrics(spark, d):
     reservations, sessions, stations = A.reservations(spark, d), A.charging_sessions(spark, d), A.stations(spark, d)
     cutover = S.as_timestamp(CUTOVER)
-    # Facts fall on either side of the cutover by key, so many days are on both sides.
+    # Sessions are split by energy, so that most days are on both sides.
     stored = metrics.daily_metrics(
         reservations.filter(F.col("start_time") < cutover), sessions.filter(F.col("energy_kwh") < 25), stations
     )
@@ -376,8 +377,6 @@ def reservations_after_replay(spark, d):
 
 @query
 def json_state_load(spark, d):
-    from pyspark.sql import types as T
-
     shape = T.StructType([T.StructField("k", T.IntegerType())])
     default = F.struct(F.lit(-1).alias("k"))
     loaded = json_state.load_json(F.col("text"), shape, default)

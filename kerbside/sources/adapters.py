@@ -7,7 +7,7 @@ types; the operators work with any key type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.sources.tables import read_table
@@ -15,8 +15,13 @@ from kerbside.sources.tables import read_table
 AVAILABLE_OVER = 4500
 LOT_COUNT = 25
 
-is_open = F.col("c_acctbal") > AVAILABLE_OVER
-is_ev = F.col("c_mktsegment") == "AUTOMOBILE"
+
+def _is_open() -> Column:
+    return F.col("c_acctbal") > AVAILABLE_OVER
+
+
+def _is_ev() -> Column:
+    return F.col("c_mktsegment") == "AUTOMOBILE"
 
 
 def lots(spark: SparkSession, d: str) -> DataFrame:
@@ -36,24 +41,24 @@ def spots(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_custkey").alias("spot_id"),
         F.col("c_nationkey").alias("lot_id"),
         F.col("c_name").alias("label"),
-        is_open.alias("is_available"),
-        is_ev.alias("supports_ev"),
+        _is_open().alias("is_available"),
+        _is_ev().alias("supports_ev"),
     )
 
 
 def slots(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "customer").select(
         F.col("c_custkey").alias("slot_id"),
-        F.when(is_ev, "EV").otherwise("Parking").alias("type"),
-        F.when(is_open, "Available").otherwise("Occupied").alias("status"),
+        F.when(_is_ev(), "EV").otherwise("Parking").alias("type"),
+        F.when(_is_open(), "Available").otherwise("Occupied").alias("status"),
     )
 
 
 def slots_in_old_words(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "customer").select(
         F.col("c_custkey").alias("slot_id"),
-        F.when(is_ev, "EV Charger").otherwise("Parking Slot").alias("type"),
-        F.when(is_open, "Available").when(is_ev, "In Use").otherwise("Occupied").alias("status"),
+        F.when(_is_ev(), "EV Charger").otherwise("Parking Slot").alias("type"),
+        F.when(_is_open(), "Available").when(_is_ev(), "In Use").otherwise("Occupied").alias("status"),
     )
 
 
@@ -102,7 +107,8 @@ def reservation_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+def _cents() -> Column:
+    return F.round(F.col("l_extendedprice") * 100).cast("bigint")
 
 
 def charging_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +120,7 @@ def charging_sessions(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_linenumber").alias("line_number"),
         F.col("l_shipdate").alias("started_at"),
         F.col("l_quantity").alias("energy_kwh"),
-        cents.alias("cost"),
+        _cents().alias("cost"),
     )
 
 
@@ -217,7 +223,8 @@ def full_slot_commands(spark: SparkSession, d: str) -> DataFrame:
     """All four commands. Cancels name any earlier event, so many name no live reservation.
 
     Views cancel, a click of high value resets, other clicks release an unknown
-    slot; a reserve of low value comes without a time.
+    slot. Among reserves, those of low value lack a time and the next ones name an
+    unknown slot.
     """
     k = F.get_json_object("props", "$.k").cast("bigint")
     command = (
@@ -226,6 +233,7 @@ def full_slot_commands(spark: SparkSession, d: str) -> DataFrame:
         .when((F.col("event_type") == "click") & (F.col("value") > 300), "reset")
         .otherwise("release")
     )
+    unknown = (F.col("event_type") == "click") | ((F.col("command") == "reserve") & F.col("value").between(5, 8))
     return (
         read_table(spark, d, "events")
         .select(
@@ -241,9 +249,7 @@ def full_slot_commands(spark: SparkSession, d: str) -> DataFrame:
         .select(
             "seq",
             "command",
-            F.when(F.col("command") == "reserve", F.col("user_id"))
-            .when((F.col("command") == "release") & (F.col("event_type") == "click"), -F.col("user_id") - 1)
-            .when(F.col("command") == "release", F.col("user_id"))
+            F.when(F.col("command").isin("reserve", "release"), F.when(unknown, -F.col("user_id") - 1).otherwise(F.col("user_id")))
             .alias("slot_id"),
             F.when(F.col("command") == "reserve", F.col("date")).alias("date"),
             F.when((F.col("command") == "reserve") & (F.col("value") >= 5), F.col("clock")).alias("time"),
