@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import constants as K
 
-# --- Fixed values: date-time text that is read as a start time --------------
-# Date-only text and text without an offset are UTC.
-DATE_TEXT = r"^\d{4}(-\d{2}(-\d{2})?)?$"
-DATE_TIME_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"
-OFFSET_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
+# Characters a start time is made of; zone names and words are not read.
+INSTANT_CHARACTERS = r"^[0-9TZ:.+ -]+$"
 EPOCH_MS_TEXT = r"^-?\d{5,15}$"
 
-EPOCH = dt.datetime(1970, 1, 1)
+EPOCH = "1970-01-01 00:00:00"
 
 
 def is_blank(c: Column) -> Column:
@@ -39,20 +36,19 @@ def epoch_ms_to_utc(ms: Column) -> Column:
 
 
 def parse_instant(text: Column) -> Column:
-    """Start-time text as UTC wall clock at millisecond precision, null when unreadable."""
-    padded = F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01"))).when(
-        F.length(text) == 7, F.concat(text, F.lit("-01"))
-    ).otherwise(text)
-    zoned = (
-        F.when(text.rlike(OFFSET_TEXT), text)
-        .when(text.rlike(DATE_TIME_TEXT), F.concat(text, F.lit("Z")))
-        .when(text.rlike(DATE_TEXT), F.concat(padded, F.lit("T00:00:00Z")))
-    )
-    instant = F.coalesce(
-        zoned.try_cast("timestamp"),
-        F.when(text.rlike(EPOCH_MS_TEXT), F.timestamp_millis(text.try_cast("bigint"))),
+    """Start-time text as UTC wall clock at millisecond precision, null when unreadable.
+
+    Read are ISO dates and date-times, with ``Z`` or an offset or, without, as UTC;
+    and whole numbers of five digits or more as milliseconds since 1970.
+    """
+    shifted = (F.length(text) > 10) & (text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-"))
+    to_ms = F.when(text.contains("."), F.regexp_replace(text, r"(\.\d{3})\d+", "$1")).otherwise(text)
+    return (
+        F.when(text.rlike(EPOCH_MS_TEXT), epoch_ms_to_utc(text))
+        .when(~text.rlike(INSTANT_CHARACTERS), F.lit(None))
+        .when(shifted, as_utc(to_ms.try_cast("timestamp")))
+        .otherwise(to_ms.try_cast("timestamp_ntz"))
     )
-    return as_utc(F.date_trunc("millisecond", instant))
 
 
 def start_or(text: Column, as_of: Column) -> Column:
@@ -64,10 +60,13 @@ def utc_day(c: Column) -> Column:
     return c.cast("date")
 
 
-def as_timestamp(value) -> Column:
-    """A literal or column as UTC wall clock."""
+def as_timestamp(value: Column | dt.datetime | str) -> Column:
+    """A column, date-time or text as UTC wall clock."""
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
+    if isinstance(value, dt.datetime):
+        # As text, since Spark would read a date-time literal in the session's zone.
+        value = (value.astimezone(dt.UTC) if value.tzinfo else value).replace(tzinfo=None).isoformat(" ")
     return F.lit(value).cast("timestamp_ntz")
 
 

@@ -60,23 +60,31 @@ def reservation_detail(
     rows, each with about ``page`` children in order, so no list grows without
     bound and none is cut.
     """
-    counts = _child_counts(events, sessions)
-    large = counts.filter(F.col("n") > page).select(KEY, F.ceil(F.col("n") / page).alias("parts"))
-    part = F.coalesce(F.pmod(F.xxhash64("child_id"), F.col("parts")), F.lit(0))
+    large = (
+        _child_counts(events, sessions)
+        .filter(F.col("n") > page)
+        .select(KEY, F.ceil(F.col("n") / page).alias("parts"))
+    )
+    parent = F.struct(*[c for c in reservations.columns if c != KEY])
+    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)
+    parents = reservations.join(large, KEY, "left").select(
+        KEY, F.explode(parts).alias("part"), parent.alias("parent")
+    )
+    part = F.coalesce(F.pmod(F.xxhash64("child_id"), F.col("parts")), F.lit(0).cast("bigint"))
+    children = _children(events, sessions).join(large, KEY, "left").select(
+        KEY, part.alias("part"), "kind", "event", "session"
+    )
     newest_first = F.struct(F.col("event.recorded_at"), F.col("event.event_id"), F.col("event").alias("row"))
-    lists = (
-        _children(events, sessions)
-        .join(large, KEY, "left")
-        .groupBy(KEY, part.alias("part"))
+    return (
+        children.unionByName(parents, allowMissingColumns=True)
+        # Parents and children meet in one shuffle; lists are built after it, not in part before it.
+        .repartition(KEY, "part")
+        .groupBy(KEY, "part")
         .agg(
+            F.first("parent", ignorenulls=True).alias("parent"),
             F.sort_array(F.collect_list(F.when(F.col("kind") == "event", newest_first)), asc=False).alias("events"),
             F.collect_list("session").alias("sessions"),
         )
-        .select(KEY, "part", F.col("events.row").alias("events"), "sessions")
-    )
-    empty = {f.name: F.array().cast(f.dataType) for f in lists.schema if f.name in ("events", "sessions")}
-    return (
-        _with_childless(reservations, lists.join(reservations, KEY), counts)
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumns({name: F.coalesce(name, none) for name, none in empty.items()})
+        .filter(F.col("parent").isNotNull())
+        .select(KEY, "part", "parent.*", F.col("events.row").alias("events"), "sessions")
     )

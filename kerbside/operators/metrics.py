@@ -14,7 +14,7 @@ KEYS = ["lot_id", "day"]
 
 
 def _deltas(df: DataFrame, at: str, **values) -> DataFrame:
-    """One delta row per input row; measures not given add nothing."""
+    """One delta per input row, at its time; measures not given add nothing."""
     zero = {
         "reservations_count": F.lit(0).cast("bigint"),
         "charging_sessions_count": F.lit(0).cast("bigint"),
@@ -24,7 +24,7 @@ def _deltas(df: DataFrame, at: str, **values) -> DataFrame:
         "occupancy_seq": F.lit(None).cast("bigint"),
     }
     columns = {**zero, **values}
-    return df.select("lot_id", S.utc_day(F.col(at)).alias("day"), *[c.alias(n) for n, c in columns.items()])
+    return df.select("lot_id", F.col(at).alias("at"), *[c.alias(n) for n, c in columns.items()])
 
 
 def reservation_deltas(reservations: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def with_station_lot(sessions: DataFrame, stations: DataFrame) -> DataFrame:
 
 def sum_deltas(deltas: DataFrame) -> DataFrame:
     """Deltas to one row per (lot, day). The last occupancy sample of the day wins."""
-    return deltas.groupBy(*KEYS).agg(
+    return deltas.groupBy("lot_id", S.utc_day(F.col("at")).alias("day")).agg(
         *[F.sum(c).alias(c) for c in COUNTS],
         F.max_by("avg_occupancy_percent", "occupancy_seq").alias("avg_occupancy_percent"),
     )

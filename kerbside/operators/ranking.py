@@ -10,14 +10,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the greatest ``order`` per key.
 
     An aggregate rather than a window: each task reduces its rows to one per key
-    before the shuffle.
+    before the shuffle, by hashing when the columns are of fixed size. ``order``
+    must not repeat within a key.
     """
     rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("row"))
-        .select(*keys, "row.*")
-    )
+    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
 
 
 def top_k_per_key(

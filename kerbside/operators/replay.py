@@ -23,7 +23,7 @@ logarithm of its depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import constants as K
@@ -35,6 +35,19 @@ START = -1  # seq of the state before the log
 BEFORE = Window.unboundedPreceding, -1
 
 
+def _effect(seq: Column, occupies: Column) -> Column:
+    """An effect as one number, twice its seq and one more if it occupies; the greatest is the last."""
+    return seq.cast("bigint") * 2 + F.when(occupies, 1).otherwise(0)
+
+
+def _effect_seq(effect: Column) -> Column:
+    return F.shiftright(effect, 1)
+
+
+def _effect_status(effect: Column) -> Column:
+    return F.when(effect.bitwiseAND(F.lit(1).cast("bigint")) == 1, K.OCCUPIED).when(effect.isNotNull(), K.AVAILABLE)
+
+
 def charging_commands(starts: DataFrame, stops: DataFrame) -> DataFrame:
     """Charging starts reserve a charger under a fixed mark; stops release a charger.
 
@@ -106,9 +119,9 @@ def _name_slots(commands: DataFrame) -> DataFrame:
 
 
 def _carry_over(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """``value``'s last non-null before each row, by ``order`` within ``keys``."""
+    """The greatest, which is the last, ``value`` before each row by ``order`` within ``keys``."""
     window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*BEFORE)
-    return df.withColumn("carried", F.last(value, ignorenulls=True).over(window))
+    return df.withColumn("carried", F.max(value).over(window))
 
 
 def _reset_marks(log: DataFrame, width: int) -> DataFrame:
@@ -133,35 +146,29 @@ def _reset_marks(log: DataFrame, width: int) -> DataFrame:
 
 def _slot_marks(log: DataFrame, slots: DataFrame) -> DataFrame:
     """Per chunk and existing slot used in it, the slot's last certain effect before the chunk."""
-    last = F.max_by("effect", F.when(F.col("effect").isNotNull(), F.col("seq")))
-    touched = (
-        log.filter(F.col("slot_id").isNotNull())
-        .groupBy("slot_id", "chunk")
-        .agg(last.alias("effect"))
-    )
-    start = F.struct(F.lit(START).cast("bigint").alias("at"), F.col("status").alias("to"))
+    touched = log.filter(F.col("slot_id").isNotNull()).groupBy("slot_id", "chunk").agg(F.max("effect").alias("effect"))
+    start = _effect(F.lit(START), F.col("status") == K.OCCUPIED)
     known = slots.select("slot_id", start.alias("start"))
-    return (
-        _carry_over(touched.join(known, "slot_id"), ["slot_id"], "chunk", "effect")
-        .select("slot_id", "chunk", F.coalesce("carried", "start").alias("effect"), F.lit(True).alias("known"))
+    return _carry_over(touched.join(known, "slot_id"), ["slot_id"], "chunk", "effect").select(
+        "slot_id", "chunk", F.coalesce("carried", "start").alias("effect"), F.lit(True).alias("known")
     )
 
 
-def _certain_state(commands: DataFrame, slots: DataFrame, width: int) -> DataFrame:
+def _certain_state(commands: DataFrame, slots: DataFrame, width: int, cancels_work: bool) -> DataFrame:
     """Each command with the last certain effect before it: its seq ``since`` and status ``base``.
 
     Certain effects are those of sound reserves (occupied, whether or not they were
-    the ones to occupy the slot), releases and resets. ``base`` is null for slots
-    that do not exist.
+    the ones to occupy the slot), releases, resets and, if ``cancels_work``, first
+    cancels. ``base`` is null for slots that do not exist.
     """
     command = F.col("command")
     sound = (command == "reserve") & ~S.is_blank(F.col("date")) & ~S.is_blank(F.col("time"))
-    to = F.when(sound, K.OCCUPIED).when(command == "release", K.AVAILABLE)
+    frees = (command == "release") | (F.lit(cancels_work) & F.col("made_at").isNotNull())
     log = commands.withColumns(
         {
             "sound": sound,
             "chunk": F.expr(f"seq div {width}"),
-            "effect": F.when(to.isNotNull(), F.struct(F.col("seq").alias("at"), to.alias("to"))),
+            "effect": F.when(sound | frees, _effect(F.col("seq"), sound)),
         }
     )
     marks = _slot_marks(log, slots).unionByName(_reset_marks(log, width), allowMissingColumns=True)
@@ -173,16 +180,16 @@ def _certain_state(commands: DataFrame, slots: DataFrame, width: int) -> DataFra
     by_chunk = Window.partitionBy("chunk").orderBy("seq").rowsBetween(*BEFORE)
     by_slot = Window.partitionBy("chunk", "slot_id").orderBy("seq").rowsBetween(*BEFORE)
     reset = F.coalesce(F.col("last_reset"), F.lit(START - 1))
-    wiped = reset > F.col("own.at")
+    wiped = reset > _effect_seq(F.col("own"))
     return (
-        both.withColumn("last_reset", F.last("reset_seq", ignorenulls=True).over(by_chunk))
-        .withColumn("own", F.last("effect", ignorenulls=True).over(by_slot))
-        .withColumn("known", F.last("known", ignorenulls=True).over(by_slot))
+        both.withColumn("last_reset", F.max("reset_seq").over(by_chunk))
+        .withColumn("own", F.max("effect").over(by_slot))
+        .withColumn("known", F.max("known").over(by_slot))
         .filter(F.col("seq").isNotNull())
         .withColumns(
             {
-                "since": F.when(F.col("known"), F.when(wiped, reset).otherwise(F.col("own.at"))),
-                "base": F.when(F.col("known"), F.when(wiped, K.AVAILABLE).otherwise(F.col("own.to"))),
+                "since": F.when(F.col("known"), F.when(wiped, reset).otherwise(_effect_seq(F.col("own")))),
+                "base": F.when(F.col("known"), F.when(wiped, K.AVAILABLE).otherwise(_effect_status(F.col("own")))),
                 # A reset between reserve and cancel has removed the reservation.
                 "in_time": F.coalesce(F.col("made_at") > reset, F.lit(False)),
             }
@@ -232,6 +239,21 @@ def _working_cancels(state: DataFrame) -> DataFrame:
     return cancels.join(good, "made_at")
 
 
+def _with_working_cancels(state: DataFrame) -> DataFrame:
+    """``state`` with ``works`` on cancels and the status ``before`` each command."""
+    is_cancel = F.col("command") == "cancel"
+    working = _working_cancels(state)
+    freed = working.groupBy("slot_id", "since").agg(F.min("seq").alias("freed_at"))
+    judged = state.filter(is_cancel).join(working.select("seq", F.lit(True).alias("works")), "seq", "left")
+    return (
+        state.filter(~is_cancel)
+        .unionByName(judged, allowMissingColumns=True)
+        .withColumn("works", F.coalesce("works", F.lit(False)))
+        .join(freed, ["slot_id", "since"], "left")
+        .withColumn("before", F.when(F.col("freed_at") < F.col("seq"), K.AVAILABLE).otherwise(F.col("base")))
+    )
+
+
 def replay(
     commands: DataFrame, slots: DataFrame, width: int = WIDTH, only_live_cancels: bool = False
 ) -> DataFrame:
@@ -245,18 +267,11 @@ def replay(
     no slot and null statuses. Commands on unknown slots change nothing.
     """
     is_cancel = F.col("command") == "cancel"
-    state = _certain_state(_name_slots(commands), slots, width)
+    state = _certain_state(_name_slots(commands), slots, width, only_live_cancels)
     if only_live_cancels:
-        state = state.withColumn("works", is_cancel & F.col("in_time"))
-        working = state.filter("works")
+        state = state.withColumns({"works": is_cancel & F.col("in_time"), "before": F.col("base")})
     else:
-        state = cut_lineage(state)
-        working = _working_cancels(state)
-        works = working.select("seq", F.lit(True).alias("works"))
-        state = state.filter(~is_cancel).withColumn("works", F.lit(False)).unionByName(
-            state.filter(is_cancel).join(works, "seq", "left").withColumn("works", F.coalesce("works", F.lit(False)))
-        )
-    freed = working.groupBy("slot_id", "since").agg(F.min("seq").alias("freed_at"))
+        state = _with_working_cancels(cut_lineage(state))
 
     command, occupied = F.col("command"), F.col("before") == K.OCCUPIED
     reserve = command == "reserve"
@@ -275,9 +290,7 @@ def replay(
         .otherwise(F.col("before"))
     )
     return (
-        state.join(freed, ["slot_id", "since"], "left")
-        .withColumn("before", F.when(F.col("freed_at") < F.col("seq"), K.AVAILABLE).otherwise(F.col("base")))
-        .withColumn("message", message)
+        state.withColumn("message", message)
         .withColumn("ok", ok)
         .withColumn("after", after)
         .select(
@@ -305,12 +318,12 @@ def slots_after(outcomes: DataFrame, commands: DataFrame, slots: DataFrame) -> D
     last = (
         outcomes.filter(F.col("status_after").isNotNull())
         .groupBy("slot_id")
-        .agg(F.max("seq").alias("last_seq"), F.max_by("status_after", "seq").alias("last_status"))
+        .agg(F.max(_effect(F.col("seq"), F.col("status_after") == K.OCCUPIED)).alias("effect"))
     )
     status = (
-        F.when(F.col("last_seq") > F.col("reset_seq"), F.col("last_status"))
+        F.when(_effect_seq(F.col("effect")) > F.col("reset_seq"), _effect_status(F.col("effect")))
         .when(F.col("reset_seq") > START - 1, K.AVAILABLE)
-        .otherwise(F.coalesce("last_status", "status"))
+        .otherwise(F.coalesce(_effect_status(F.col("effect")), "status"))
     )
     return (
         slots.join(last, "slot_id", "left")

@@ -379,8 +379,8 @@ def reservations_after_replay(spark, d):
 def json_state_load(spark, d):
     shape = T.StructType([T.StructField("k", T.IntegerType())])
     default = F.struct(F.lit(-1).alias("k"))
-    loaded = json_state.load_json(F.col("text"), shape, default)
-    return A.state_texts(spark, d).select("event_id", loaded.isNull().alias("is_null"), loaded["k"].alias("k"))
+    loaded = json_state.load_json(A.state_texts(spark, d), "text", shape, default, "state")
+    return loaded.select("event_id", F.col("state").isNull().alias("is_null"), "state.k")
 
 
 @query

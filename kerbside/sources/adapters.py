@@ -156,8 +156,8 @@ def _order_requests(spark: SparkSession, d: str) -> DataFrame:
         (F.col("o_orderkey") % LOT_COUNT).cast("int").alias("lot_id"),
         F.col("o_custkey").alias("spot_id"),
         F.lit(None).cast("string").alias("user_id"),
-        F.format_string("PL-%d", "o_custkey").alias("vehicle_plate"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("start_time"),
+        F.concat(F.lit("PL-"), F.col("o_custkey").cast("string")).alias("vehicle_plate"),
+        F.col("o_orderdate").cast("date").cast("string").alias("start_time"),
         "o_orderpriority",
     )
 
@@ -211,8 +211,8 @@ def slot_commands(spark: SparkSession, d: str) -> DataFrame:
             F.col("event_id").alias("seq"),
             command.alias("command"),
             F.col("user_id").alias("slot_id"),
-            F.date_format("ts", "yyyy-MM-dd").alias("date"),
-            F.date_format("ts", "HH:mm").alias("time"),
+            F.col("ts").cast("date").cast("string").alias("date"),
+            F.substring(F.col("ts").cast("string"), 12, 5).alias("time"),
             F.col("event_id").alias("reservation_id"),
         )
         .filter(F.col("command").isNotNull())
@@ -242,8 +242,8 @@ def full_slot_commands(spark: SparkSession, d: str) -> DataFrame:
             F.col("event_type"),
             F.col("user_id"),
             F.col("value"),
-            F.date_format("ts", "yyyy-MM-dd").alias("date"),
-            F.date_format("ts", "HH:mm").alias("clock"),
+            F.col("ts").cast("date").cast("string").alias("date"),
+            F.substring(F.col("ts").cast("string"), 12, 5).alias("clock"),
             (F.col("event_id") - 1 - k).alias("earlier"),
         )
         .select(
@@ -265,7 +265,7 @@ def slot_reservations(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(
         F.col("o_orderkey").alias("reservation_id"),
         F.col("o_custkey").alias("slot_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.col("o_orderdate").cast("date").cast("string").alias("date"),
         F.col("o_orderkey").alias("created_at"),
     )
 

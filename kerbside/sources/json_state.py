@@ -9,27 +9,29 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
-def load_json(text: Column, schema: T.StructType | T.ArrayType, default: Column) -> Column:
-    """Parse JSON text; missing, empty or unreadable text gives ``default``.
+def load_json(
+    df: DataFrame, text: str, schema: T.StructType | T.ArrayType, default: Column, name: str
+) -> DataFrame:
+    """Add column ``name``: the JSON in ``text``, or ``default`` when missing, empty or unreadable.
 
     The text ``null`` is a value and stays null. Text that parses but does not fit
-    the schema also gives ``default``.
+    the schema also gives ``default``. The text is parsed once, in a step of its own.
     """
+    raw = F.col(text)
+    is_null_text = F.trim(raw) == "null"
+    # Texts decided without parsing are kept from the parser.
+    to_parse = F.when((raw != "") & ~is_null_text, raw)
     if isinstance(schema, T.ArrayType):
-        parsed = F.from_json(text, schema)
-        broken = parsed.isNull()
-        value = parsed
+        parsed = F.from_json(to_parse, schema)
+        broken = F.col("_parsed").isNull()
+        value = F.col("_parsed")
     else:
         wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-        parsed = F.from_json(text, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        broken = parsed.isNull() | parsed[CORRUPT].isNotNull()
-        value = F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields])
-    return (
-        F.when(text.isNull() | (text == ""), default)
-        .when(F.trim(text) == "null", F.lit(None))
-        .when(broken, default)
-        .otherwise(value)
-    )
+        parsed = F.from_json(to_parse, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        broken = F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull()
+        value = F.struct(*[F.col(f"_parsed.{f.name}").alias(f.name) for f in schema.fields])
+    result = F.when(is_null_text, F.lit(None)).when(broken, default).otherwise(value)
+    return df.withColumn("_parsed", parsed).withColumn(name, result).drop("_parsed")
 
 
 def json_text(df: DataFrame, *columns: str) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside import schemas
 
@@ -20,8 +21,9 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.ALL[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def read_rows(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
+    paths = [path] if isinstance(path, str) else path
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def append(df: DataFrame, path: str) -> None:
