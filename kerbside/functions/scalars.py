@@ -26,6 +26,11 @@ def as_utc(instant: Column) -> Column:
     return micros_to_utc(F.unix_micros(instant))
 
 
+def as_instant(wall_clock: Column) -> Column:
+    """UTC wall clock as an instant, whatever the session zone."""
+    return F.concat(wall_clock.cast("string"), F.lit("Z")).cast("timestamp")
+
+
 def micros_to_utc(micros: Column) -> Column:
     seconds = (micros.cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
     return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)

@@ -1,7 +1,7 @@
 """Requests as a stream: admission, fact tables and daily metrics, batch by batch.
 
-Everything a micro-batch writes goes to ``<table>/batch_id=N``, so a batch that is
-run again overwrites only itself. Daily metrics are kept by month: batch N reads the
+Everything a micro-batch writes goes to ``<table>/batch_id=N``, so a batch that broke
+off and is run again overwrites only itself. Daily metrics are kept by month: batch N reads the
 months it touches as of batch N-1, adds its deltas and writes them anew under its own
 number. The manifest of batch N, written last, names the batch that holds each month;
 until it is there, readers see batch N-1. Start times may lie anywhere in the past or
@@ -12,11 +12,13 @@ Output and checkpoint belong together: a new checkpoint needs a new output folde
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kerbside import schemas
+from kerbside.functions import scalars as S
 from kerbside.operators import fanout, metrics
 from kerbside.operators.admission import accepted, decide_reservations, decide_sessions, rejected
 from kerbside.operators.slots import set_where_key_in
@@ -54,6 +56,16 @@ def _manifest(spark: SparkSession, out: str, batch: int) -> DataFrame:
     return read_rows(spark, _folder(out, "manifest", batch), MANIFEST)
 
 
+def _is_published(spark: SparkSession, out: str, batch: int) -> bool:
+    """Whether the batch has run to its end; an empty manifest does not count, and its batch may run again."""
+    try:
+        return not _manifest(spark, out, batch).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def _months(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """Metrics of the months of a manifest. Only month names, as many as the calendar has, reach the driver."""
     paths = [f"{_folder(out, 'metrics', r.held_by)}/month={r.month}" for r in manifest.collect()]
@@ -77,8 +89,10 @@ def _publish_metrics(deltas: DataFrame, out: str, batch: int) -> None:
 
 
 def process_batch(requests: DataFrame, batch: int, out: str, spots: DataFrame, stations: DataFrame) -> None:
-    """Admit one batch of requests and write all it changes."""
+    """Admit one batch of requests and write all it changes, unless that was done before."""
     spark = requests.sparkSession
+    if _is_published(spark, out, batch):
+        return
     now = F.col("received_at")
 
     taken = taken_spots(spark, out, batch)
@@ -168,10 +182,13 @@ def daily_metrics_stream(
     both = append_rows(
         metrics.reservation_deltas(reservations), metrics.session_deltas(metrics.with_station_lot(sessions, stations))
     )
+    day = F.col("w.start").cast("date")
     if watermark:
-        both = both.withWatermark("at", watermark)
+        # Watermarks need an instant.
+        both = both.withColumn("at", S.as_instant(F.col("at"))).withWatermark("at", watermark)
+        day = S.utc_day(S.as_utc(F.col("w.start")))
     return (
         both.groupBy("lot_id", F.window("at", "1 day").alias("w"))
         .agg(*[F.sum(c).alias(c) for c in metrics.COUNTS])
-        .select("lot_id", F.col("w.start").cast("date").alias("day"), *metrics.COUNTS)
+        .select("lot_id", day.alias("day"), *metrics.COUNTS)
     )
