@@ -1,20 +1,29 @@
 """Fixed values that results must agree on."""
 
-# --- Fixed values: defaults ------------------------------------------------
+# --- Fixed values: defaults of columns that a new row does not give ----------
+COLUMN_DEFAULTS = {
+    "lots": {"has_ev_charging": False, "timezone": "UTC"},
+    "spots": {"is_available": True, "supports_ev": False},
+    "stations": {"is_available": True},
+    "reservations": {"status": "reserved"},
+    "charging_sessions": {"status": "active"},
+    "lot_daily_metrics": {
+        "reservations_count": 0,
+        "charging_sessions_count": 0,
+        "energy_kwh": 0.0,
+        "revenue_cents": 0,
+    },
+    "transactions": {"currency": "INR", "status": "pending"},
+}
+
+# --- Fixed values: defaults and limits ---------------------------------------
 DEFAULT_USER = "demo-user"
-DEFAULT_TIMEZONE = "UTC"
-DEFAULT_CURRENCY = "INR"
-DEFAULT_TRANSACTION_STATUS = "pending"
 DEFAULT_LOOKBACK_DAYS = 7
 HISTORY_LIMIT = 200
 POWER_KW = 7.2
 RATE_PER_KWH = 18
 
 # --- Fixed values: statuses ------------------------------------------------
-RESERVATION_STATUSES = ["reserved", "active", "completed", "cancelled"]
-CHARGING_STATUSES = ["idle", "active", "completed", "failed"]
-SLOT_TYPES = ["Parking", "EV"]
-SLOT_STATUSES = ["Available", "Occupied"]
 AVAILABLE = "Available"
 OCCUPIED = "Occupied"
 ANY = "All"
@@ -38,7 +47,6 @@ SPOT_NOT_FOUND = "Spot not found for lot"
 SPOT_TAKEN = "Spot is not available"
 MISSING_STATION = "stationId is required"
 STATION_NOT_FOUND = "Charging station not found"
-RESERVATION_NOT_FOUND = "Reservation not found"
 SERVER_ERROR = "Internal server error"
 SLOT_NOT_FOUND = "Slot not found"
 SLOT_OCCUPIED = "Slot already occupied"

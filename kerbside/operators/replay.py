@@ -96,7 +96,7 @@ def _name_slots(commands: DataFrame) -> DataFrame:
     Only a reservation's first cancel can work; repeats keep a null slot. Other
     commands pass by the join.
     """
-    is_cancel = F.col("command") == "cancel"
+    is_cancel = F.col("command").eqNullSafe("cancel")
     cancels = commands.filter(is_cancel)
     made = commands.filter(F.col("command") == "reserve").select(
         "reservation_id", F.col("slot_id").alias("held_slot"), F.col("seq").alias("made_at")
@@ -171,7 +171,7 @@ def _certain_state(commands: DataFrame, slots: DataFrame, width: int, cancels_wo
             "effect": F.when(sound | frees, _effect(F.col("seq"), sound)),
         }
     )
-    marks = _slot_marks(log, slots).unionByName(_reset_marks(log, width), allowMissingColumns=True)
+    marks = _slot_marks(log, slots).unionByName(_reset_marks(log.select("seq", "command", "chunk"), width), allowMissingColumns=True)
     both = log.withColumn("reset_seq", F.when(command == "reset", F.col("seq"))).unionByName(
         marks, allowMissingColumns=True
     )
@@ -241,7 +241,7 @@ def _working_cancels(state: DataFrame) -> DataFrame:
 
 def _with_working_cancels(state: DataFrame) -> DataFrame:
     """``state`` with ``works`` on cancels and the status ``before`` each command."""
-    is_cancel = F.col("command") == "cancel"
+    is_cancel = F.col("command").eqNullSafe("cancel")
     working = _working_cancels(state)
     freed = working.groupBy("slot_id", "since").agg(F.min("seq").alias("freed_at"))
     judged = state.filter(is_cancel).join(working.select("seq", F.lit(True).alias("works")), "seq", "left")
@@ -266,12 +266,14 @@ def replay(
     ``reservation_id`` must be set on reserves and differ between them. Resets have
     no slot and null statuses. Commands on unknown slots change nothing.
     """
-    is_cancel = F.col("command") == "cancel"
-    state = _certain_state(_name_slots(commands), slots, width, only_live_cancels)
+    is_cancel = F.col("command").eqNullSafe("cancel")
     if only_live_cancels:
+        state = _certain_state(_name_slots(commands), slots, width, cancels_work=True)
         state = state.withColumns({"works": is_cancel & F.col("in_time"), "before": F.col("base")})
     else:
-        state = _with_working_cancels(cut_lineage(state))
+        # Both tables are read several times.
+        named = cut_lineage(_name_slots(commands))
+        state = _with_working_cancels(cut_lineage(_certain_state(named, slots, width, cancels_work=False)))
 
     command, occupied = F.col("command"), F.col("before") == K.OCCUPIED
     reserve = command == "reserve"

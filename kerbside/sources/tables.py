@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbside import schemas
+from kerbside.functions.constants import COLUMN_DEFAULTS
 
 PUBLISHED = "_published"
 PUBLISHED_SCHEMA = "version bigint"
@@ -26,6 +27,19 @@ def read_rows(spark: SparkSession, path: str | list[str], schema: str | T.Struct
     return spark.read.schema(schema).parquet(*paths)
 
 
+def new_rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows in the shape of a domain table: columns not given take their default, or null."""
+    defaults = COLUMN_DEFAULTS.get(name, {})
+
+    def column(field: str):
+        column_name, kind = field.split()
+        given = F.col(column_name) if column_name in df.columns else F.lit(None)
+        filled = F.coalesce(given, F.lit(defaults[column_name])) if column_name in defaults else given
+        return filled.cast(kind).alias(column_name)
+
+    return df.select(*[column(field) for field in schemas.DOMAIN[name].split(",")])
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows to a table."""
     df.write.mode("append").parquet(path)
@@ -67,21 +81,24 @@ def append_rows(*frames: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set only where unset and local."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where unset and local."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="kerbside-checkpoint-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    own = tempfile.mkdtemp(prefix="kerbside-checkpoint-")
+    sc.setCheckpointDir(own)
+    return own
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to a table in the shared checkpoint folder and go on from there.
+
+    A lost executor costs a re-read, not a re-run, and later steps read only the
+    columns they need, with known sizes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/kerbside-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return read_rows(df.sparkSession, path, df.schema)

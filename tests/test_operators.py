@@ -329,6 +329,23 @@ def test_flatten_children(spark):
     assert rows(tables.flatten_children(nested, "lot_id", "spots", "lot_id")) == [("L1", "A1", True), ("L1", "A2", False)]
 
 
-def test_checkpoint_folder_is_the_named_one(spark):
-    folder = tables.checkpoint_dir(spark)
-    assert spark.sparkContext.getCheckpointDir() and tables.checkpoint_dir(spark) == folder
+def test_checkpoint_folder_is_the_named_one(spark, tmp_path):
+    own = tables.checkpoint_dir(spark)
+    assert tables.checkpoint_dir(spark) == own
+    named = str(tmp_path / "shared")
+    spark.conf.set("spark.checkpoint.dir", named)
+    try:
+        assert tables.checkpoint_dir(spark) == named
+        assert tables.cut_lineage(spark.range(3)).count() == 3
+        assert len(list((tmp_path / "shared").iterdir())) == 1
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_new_rows_take_defaults(spark):
+    given = spark.createDataFrame([("T1", 2000, None), ("T2", 10, "USD")], "transaction_id string, amount_cents int, currency string")
+    got = tables.new_rows(given, "transactions")
+    assert rows(got, "transaction_id", "amount_cents", "currency", "status", "reservation_id") == [
+        ("T1", 2000, "INR", "pending", None), ("T2", 10, "USD", "pending", None)]
+    spot = tables.new_rows(spark.createDataFrame([("A1", "L1")], "spot_id string, lot_id string"), "spots")
+    assert rows(spot) == [("A1", "L1", None, True, False)]
