@@ -171,7 +171,8 @@ def _certain_state(commands: DataFrame, slots: DataFrame, width: int, cancels_wo
             "effect": F.when(sound | frees, _effect(F.col("seq"), sound)),
         }
     )
-    marks = _slot_marks(log, slots).unionByName(_reset_marks(log.select("seq", "command", "chunk"), width), allowMissingColumns=True)
+    resets = _reset_marks(log.select("seq", "command", "chunk"), width)
+    marks = _slot_marks(log, slots).unionByName(resets, allowMissingColumns=True)
     both = log.withColumn("reset_seq", F.when(command == "reset", F.col("seq"))).unionByName(
         marks, allowMissingColumns=True
     )

@@ -215,7 +215,9 @@ def _table_counts(kind: str, spark: SparkSession, d: str) -> DataFrame:
     one = F.lit(1).cast("bigint")
     none = F.lit(None).cast("date")
     counted = {
-        "reservations": out["reservations"].select("lot_id", S.utc_day(F.col("start_time")).alias("day"), one.alias("n")),
+        "reservations": out["reservations"].select(
+            "lot_id", S.utc_day(F.col("start_time")).alias("day"), one.alias("n")
+        ),
         "reservation_events": out["reservation_events"].select(
             F.lit(None).cast("int").alias("lot_id"), S.utc_day(F.col("recorded_at")).alias("day"), one.alias("n")
         ),

@@ -249,7 +249,8 @@ def full_slot_commands(spark: SparkSession, d: str) -> DataFrame:
         .select(
             "seq",
             "command",
-            F.when(F.col("command").isin("reserve", "release"), F.when(unknown, -F.col("user_id") - 1).otherwise(F.col("user_id")))
+            F.when(F.col("command").isin("reserve", "release") & unknown, -F.col("user_id") - 1)
+            .when(F.col("command").isin("reserve", "release"), F.col("user_id"))
             .alias("slot_id"),
             F.when(F.col("command") == "reserve", F.col("date")).alias("date"),
             F.when((F.col("command") == "reserve") & (F.col("value") >= 5), F.col("clock")).alias("time"),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -37,8 +38,6 @@ def source(tmp_path_factory):
     for i in range(FILES):
         part = rows[i * 50 : (i + 1) * 50]
         (folder / f"part-{i}.json").write_text("\n".join(json.dumps(r) for r in part))
-        import os
-
         os.utime(folder / f"part-{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     return str(folder)
 
