@@ -9,10 +9,10 @@ trained, folds into one table of weights by subsequence; that is the same functi
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from kerbside.llm.common import ID, TEXT, slices
 
 #: Letters of a subsequence, alphabet (blank-free), weight of a spanned letter.
-P, ALPHABET, DECAY = 4, 32, 0.7
+P, ALPHABET, DECAY = 4, 39, 0.7
 #: Longest unit. Longer words are read in windows of this length that overlap by half.
-UNIT = 16
+UNIT = 14
 LANDMARKS = 160
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 6000
 NEGATIVES = 12_000
-MINED = 150_000
+MINED = 100_000
+#: Toxic documents that a word must explain to count as an insult.
+LEAST = 3
 THRESHOLD = 0.7
 CACHE = 400_000
 
@@ -37,13 +39,15 @@ SCHEMA = f"{ID} bigint, score double, predicted int"
 #: Signs that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "ß": "s", "ø": "o", "æ": "a", "œ": "o", "ł": "l", "đ": "d"}
 FIRST, LAST, OTHER = 26, 27, 28
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…“”‘’"
 
 
 def letters(token: str) -> str:
-    """A token in small letters without accents; signs inside that stand for letters are letters, others are left out."""
-    token = token.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…“”‘’")
-    plain = unicodedata.normalize("NFKD", token) if not token.isascii() else token
-    return "".join(SIGNS.get(c, c) for c in plain if c.isalpha() or c in SIGNS)
+    """A token without signs, but for signs inside that stand for letters."""
+    if token.isalpha():
+        return token
+    token = token.strip(PUNCTUATION)
+    return token if token.isalpha() else "".join(SIGNS.get(c, c) for c in token if c.isalpha() or c in SIGNS)
 
 
 def units(token: str) -> list[str]:
@@ -51,14 +55,16 @@ def units(token: str) -> list[str]:
     word = f"^{letters(token)}$"
     if len(word) < P + 1:
         return []
-    return [word[i : i + UNIT] for i in range(0, max(1, len(word) - UNIT // 2), UNIT // 2)]
+    if len(word) <= UNIT:
+        return [word]
+    return [word[i : i + UNIT] for i in range(0, len(word) - UNIT // 2, UNIT // 2)]
 
 
-def codes(unit: str) -> list[int]:
-    return [
-        ord(c) - 97 if "a" <= c <= "z" else FIRST if c == "^" else LAST if c == "$" else OTHER + ord(c) % (ALPHABET - OTHER)
-        for c in unit
-    ]
+def codes(same_length: list[str]) -> np.ndarray:
+    """Letter numbers, a row for each unit: a to z, the two marks, and other letters in a few classes."""
+    points = np.frombuffer("".join(same_length).encode("utf-32-le"), np.uint32).reshape(len(same_length), -1).astype(np.int64)
+    found = np.where((points >= 97) & (points < 123), points - 97, OTHER + points % (ALPHABET - OTHER))
+    return np.where(points == 94, FIRST, np.where(points == 36, LAST, found))
 
 
 def subsequences(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,58 +79,48 @@ def subsequences(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def by_length(all_units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes and letter codes of the units, length by length, in parts of bounded memory."""
-    lengths = np.array([len(u) for u in all_units])
+    lengths = np.fromiter(map(len, all_units), np.int64, len(all_units))
     for n in np.unique(lengths):
         where = np.flatnonzero(lengths == n)
-        step = max(1, 2_000_000 // max(1, len(list(combinations(range(n), P)))))
+        step = max(1, 400_000 // max(1, comb(int(n), P)))
         for i in range(0, len(where), step):
             part = where[i : i + step]
-            yield part, np.array([codes(all_units[j]) for j in part])
+            yield part, codes([all_units[j] for j in part])
 
 
 def features(all_units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The normalised kernel's explicit features as (unit, subsequence, value), equal subsequences summed."""
+    """The kernel's explicit features as (unit, subsequence, value); values of equal subsequences add up.
+
+    A unit is scaled to length one as if it repeated no subsequence, which depends on
+    its number of letters alone.
+    """
     rows, cols, values = [], [], []
     for where, words in by_length(all_units):
         number, weight = subsequences(words)
-        order = np.argsort(number, axis=1, kind="stable")
-        number = np.take_along_axis(number, order, 1)
-        new = np.ones(number.shape, bool)
-        new[:, 1:] = number[:, 1:] != number[:, :-1]
-        starts = np.flatnonzero(new.ravel())
-        sums = np.add.reduceat(np.broadcast_to(weight, number.shape)[np.arange(len(words))[:, None], order].ravel(), starts)
-        row = starts // number.shape[1]
-        norm = np.sqrt(np.bincount(row, sums**2, len(words)))
-        rows.append(where[row])
-        cols.append(number.ravel()[starts])
-        values.append(sums / norm[row])
+        rows.append(np.repeat(where, number.shape[1]))
+        cols.append(number.ravel())
+        values.append(np.tile(weight / np.sqrt((weight**2).sum()), len(words)))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
 def kernel(all_units: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values, units by landmarks."""
+    """Kernel values, units by landmarks."""
     out = np.zeros((len(all_units), len(landmarks)))
-    at, number, value = features(landmarks)
-    table = {}
-    for m, c, v in zip(at, number, value, strict=True):
-        table.setdefault(int(c), []).append((m, v))
-    wanted = np.array(sorted(table), np.int64)
-    rows, cols, values = features(all_units)
-    place = np.searchsorted(wanted, cols)
-    hit = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == cols)
+    mark, number, value = features(landmarks)
+    wanted, place = np.unique(number, return_inverse=True)
     dense = np.zeros((len(wanted), len(landmarks)))
-    for i, c in enumerate(wanted):
-        for m, v in table[int(c)]:
-            dense[i, m] += v
-    rows, place, values = rows[hit], place[hit], values[hit]
-    order = np.argsort(rows, kind="stable")
-    rows, place, values = rows[order], place[order], values[order]
-    for i in range(0, len(rows), 100_000):
-        part = slice(i, i + 100_000)
-        starts = np.flatnonzero(np.diff(rows[part], prepend=-1))
-        out[rows[part][starts]] += np.add.reduceat(values[part, None] * dense[place[part]], starts, axis=0)
+    np.add.at(dense, (place, mark), value)
+    for where, words in by_length(all_units):
+        number, weight = subsequences(words)
+        weight = weight / np.sqrt((weight**2).sum())
+        place = np.minimum(np.searchsorted(wanted, number), len(wanted) - 1)
+        unit, choice = np.nonzero(wanted[place] == number)
+        starts = np.flatnonzero(np.diff(unit, prepend=-1))
+        if len(starts):
+            sums = np.add.reduceat(weight[choice, None] * dense[place[unit, choice]], starts, axis=0)
+            out[where[unit[starts]]] = sums
     return out
 
 
@@ -141,16 +137,7 @@ class Machine:
         out = np.full(len(all_units), self.bias)
         for where, words in by_length(all_units):
             number, weight = subsequences(words)
-            found = (self.weights[number] * weight).sum(axis=1)
-            # the unit's own kernel value: equal subsequences count together
-            order = np.argsort(number, axis=1, kind="stable")
-            ranked = np.take_along_axis(number, order, 1)
-            new = np.ones(ranked.shape, bool)
-            new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-            starts = np.flatnonzero(new.ravel())
-            sums = np.add.reduceat(np.broadcast_to(weight, ranked.shape)[np.arange(len(words))[:, None], order].ravel(), starts)
-            norm = np.sqrt(np.bincount(starts // ranked.shape[1], sums**2, len(words)))
-            out[where] += found / norm
+            out[where] += (self.weights[number] @ weight) / np.sqrt((weight**2).sum())
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -267,8 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
     """A machine from document labels, or None when one class is missing.
 
     Labels are of documents. The words that make them toxic are taken as the fewest
-    that explain most: words of no clean document, by how many toxic documents not yet
-    explained hold them. All else comes from clean documents. The sample is at most
+    that explain most: words of more toxic than clean documents, by how many toxic
+    documents not yet explained hold them. The others are taken as clean. The sample is at most
     ``per_class`` documents of each class, and what the driver gets is bounded by it.
     """
     sample = _labelled(docs, labels, per_class)
@@ -286,10 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
         .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     )
     suspects = {
-        r[0]: r[1]
-        for r in counted.filter("clean = 0 and toxic >= 2").orderBy(F.desc("toxic"), "word").limit(20_000).collect()
+        r[0]: r[2]
+        for r in counted.filter(f"toxic >= {LEAST} and toxic > clean").orderBy(F.desc("toxic"), "word").limit(20_000).collect()
     }
-    clean = [r[0] for r in counted.filter("clean > 0").orderBy(F.xxhash64("word"), "word").limit(MINED).select("word").collect()]
+    clean = [r[0] for r in counted.filter("clean > 0 and clean >= toxic").orderBy(F.xxhash64("word"), "word").limit(MINED).select("word").collect()]
     if not suspects or not clean:
         return None
     held = docs.sparkSession.sparkContext.broadcast(set(suspects))
@@ -301,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
             yield pa.record_batch([pa.array(rows, pa.list_(pa.string()))], ["words"])
 
     documents = sorted(r[0] for r in sample.mapInArrow(incidence, "words array<string>").filter(F.size("words") > 0).collect())
-    positive = explaining(documents)
+    positive = explaining(documents, suspects)
     if not positive:
         return None
 
@@ -323,22 +310,26 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
     return machine
 
 
-def explaining(documents: list[list[str]], least: int = 2) -> list[str]:
-    """Words, each chosen for explaining the most documents that none before it explains, at least ``least``."""
+def explaining(documents: list[list[str]], clean: dict[str, int], least: int = LEAST) -> list[str]:
+    """Words, each chosen for the documents that it explains and none before it does, less the clean ones that hold it.
+
+    It ends where no word explains ``least`` more than that.
+    """
     holders: dict[str, set[int]] = {}
     for i, found in enumerate(documents):
         for word in found:
             holders.setdefault(word, set()).add(i)
-    whole = {w: len(h) for w, h in holders.items()}
     chosen = []
+    gain = {w: len(h) - clean.get(w, 0) for w, h in holders.items()}
     while holders:
-        word = min(holders, key=lambda w: (-len(holders[w]), -whole[w], w))
-        covered = holders.pop(word)
-        if len(covered) < least:
+        word = min(holders, key=lambda w: (-gain[w], w))
+        if gain[word] < least:
             break
+        covered = holders.pop(word)
         chosen.append(word)
         for w in {w for i in covered for w in documents[i]} & holders.keys():
             holders[w] -= covered
+            gain[w] = len(holders[w]) - clean.get(w, 0)
     return chosen
 
 
