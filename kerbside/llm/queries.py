@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import decontaminate, langid, pii, quality, toxicity, urls, warc
+from kerbside.llm import bpe, decontaminate, langid, pii, quality, toxicity, urls, warc
 from kerbside.llm.common import ID, documents, fold, table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return found.select(ID, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, d))
+
+
 def op3_language(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     filters = langid.train(docs.filter(fold(F.col(ID), 5) != 0))
@@ -57,6 +61,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_bpe,
         op3_language,
         op4_url_filter,
         op5_quality,
