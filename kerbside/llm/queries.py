@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, langid, pii, quality, toxicity, urls, warc
+from kerbside.llm import bpe, decontaminate, jaccard, langid, pii, quality, toxicity, urls, warc
 from kerbside.llm.common import ID, documents, fold, table
 
 
@@ -57,6 +57,10 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score_toxicity(docs, machine).select(ID, held_out, "score", "predicted")
 
 
+def op9_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.similarity_classes(documents(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,5 +72,6 @@ QUERIES = {
         op6_personal_data,
         op7_warc_audit,
         op8_toxicity,
+        op9_jaccard,
     )
 }
