@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, jaccard, langid, pii, quality, toxicity, urls, warc
+from kerbside.llm import bpe, decontaminate, jaccard, langid, pii, quality, suffixes, toxicity, urls, warc
 from kerbside.llm.common import ID, documents, fold, table
 
 
@@ -61,6 +61,10 @@ def op9_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similarity_classes(documents(spark, d))
 
 
+def op10_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,5 +77,6 @@ QUERIES = {
         op7_warc_audit,
         op8_toxicity,
         op9_jaccard,
+        op10_repeats,
     )
 }
