@@ -77,14 +77,14 @@ def subsequences(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, weight.astype(np.float64)
 
 
-def by_length(all_units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes and letter codes of the units, length by length, in parts of bounded memory."""
+def by_length(all_units: list[str], step: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes and letter codes of the units, length by length, in parts of about ``step`` subsequences."""
     lengths = np.fromiter(map(len, all_units), np.int64, len(all_units))
     for n in np.unique(lengths):
         where = np.flatnonzero(lengths == n)
-        step = max(1, 400_000 // max(1, comb(int(n), P)))
-        for i in range(0, len(where), step):
-            part = where[i : i + step]
+        rows = max(1, step // max(1, comb(int(n), P)))
+        for i in range(0, len(where), rows):
+            part = where[i : i + rows]
             yield part, codes([all_units[j] for j in part])
 
 
@@ -112,7 +112,7 @@ def kernel(all_units: list[str], landmarks: list[str]) -> np.ndarray:
     wanted, place = np.unique(number, return_inverse=True)
     dense = np.zeros((len(wanted), len(landmarks)))
     np.add.at(dense, (place, mark), value)
-    for where, words in by_length(all_units):
+    for where, words in by_length(all_units, 40_000):
         number, weight = subsequences(words)
         weight = weight / np.sqrt((weight**2).sum())
         place = np.minimum(np.searchsorted(wanted, number), len(wanted) - 1)
@@ -276,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
         r[0]: r[2]
         for r in counted.filter(f"toxic >= {LEAST} and toxic > clean").orderBy(F.desc("toxic"), "word").limit(20_000).collect()
     }
-    clean = [r[0] for r in counted.filter("clean > 0 and clean >= toxic").orderBy(F.xxhash64("word"), "word").limit(MINED).select("word").collect()]
+    others = counted.filter("clean > 0 and clean >= toxic").orderBy(F.xxhash64("word"), "word").limit(MINED)
+    clean = others.select("word").toArrow().column(0).to_pylist()
     if not suspects or not clean:
         return None
     held = docs.sparkSession.sparkContext.broadcast(set(suspects))
