@@ -26,10 +26,12 @@ PERCENT = 75
 WIDTH = 5
 #: Bits of a signature.
 BITS = 1024
-#: A shingle counts as frequent if this many documents of a few megabytes hold it; how many frequent ones are ranked.
-FREQUENT, RANKED = 4, 1 << 20
+#: A shingle counts as frequent if this many documents of a slice hold it; how many frequent ones are ranked.
+FREQUENT, RANKED = 3, 1 << 20
 #: Rows of a tile.
-TILE = 1024
+TILE = 512
+#: Groups up to this size are compared together, larger ones each by tiles.
+SMALL = 64
 #: Most bits of the filter that keeps texts out of the shuffle that no pair needs. A fuller filter only keeps out fewer.
 FILTER_BITS = 1 << 26
 
@@ -98,40 +100,53 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(ID).cast("bigint").alias(ID), F.col(TEXT).alias("_text"))
 
 
-def _frequent(rows: DataFrame) -> Order:
-    """The order of shingles, from the frequent ones of the whole corpus; at most ``RANKED`` reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", 4 * SLICE_BYTES):
-            sets = shingle_sets(*text_bytes(part, "_text"), WIDTH)
-            hashes, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= FREQUENT
-            yield pa.record_batch([pa.array(hashes[often].view(np.int64)), pa.array(n[often])], ["hash", "n"])
-
-    found = (
-        rows.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "hash").limit(RANKED).toArrow()
-    )
-    hashes = found.column("hash").combine_chunks().to_numpy().view(np.uint64) if len(found) else np.zeros(0, np.uint64)
-    return Order(hashes, found.column("n").combine_chunks().to_numpy() if len(found) else np.zeros(0, np.int64))
-
-
 def _described(rows: DataFrame) -> DataFrame:
-    """Per document: rid, id, size and number of its set (null when empty). Sets have one signature each."""
+    """Per document: rid, id, size and number of its set (null when empty), signature.
+
+    Beside them rows without a rid, whose ``frequent`` holds the shingles that many
+    documents of one slice share, with their counts.
+    """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", ID, "n", "sid", "signature", "frequent"]
         for part in slices(batches, "_text"):
             sets = shingle_sets(*text_bytes(part, "_text"), WIDTH)
             yield pa.record_batch(
                 [
                     part.column("rid"), part.column(ID), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([signature(s) for s in sets], pa.binary()),
+                    pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()),
                 ],
-                ["rid", ID, "n", "sid", "signature"],
+                names,
             )
+            every = np.sort(np.concatenate(sets))
+            edges = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            n = np.diff(np.append(edges, len(every)))
+            often = n >= FREQUENT
+            if often.any():
+                packed = every[edges[often]].tobytes() + n[often].astype(np.int64).tobytes()
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
+
+    return rows.mapInArrow(describe, f"rid bigint, {ID} bigint, n bigint, sid bigint, signature binary, frequent binary")
+
 
-    return rows.mapInArrow(describe, f"rid bigint, {ID} bigint, n bigint, sid bigint, signature binary")
+def _order(described: DataFrame) -> Order:
+    """The order of shingles, from the frequent ones of the whole corpus; at most ``RANKED`` reach the driver."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                hashes, n = np.frombuffer(data, np.int64).reshape(2, -1)
+                yield pa.record_batch([pa.array(hashes), pa.array(n)], ["hash", "n"])
+
+    found = (
+        described.filter("frequent is not null").select("frequent").mapInArrow(unpack, "hash bigint, n bigint")
+        .groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(RANKED).toArrow()
+    )
+    if not len(found):
+        return Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Order(found.column("hash").combine_chunks().to_numpy().view(np.uint64), found.column("n").combine_chunks().to_numpy())
 
 
 def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
@@ -155,10 +170,9 @@ def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
     return rows.mapInArrow(tokens, "token bigint, sid bigint")
 
 
-def _needed(pairs: DataFrame) -> tuple[np.ndarray, int]:
-    """A bounded Bloom filter, one hash, of the sets that occur in pairs."""
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    n = sids.count()
+def _needed(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """A bounded Bloom filter, one hash, of the rids of ``wanted``."""
+    n = wanted.count()
     bits = min(FILTER_BITS, 1 << int(np.ceil(np.log2(max(1024, 16 * n)))))
     slice_bits = min(bits, 1 << 18)
 
@@ -176,35 +190,28 @@ def _needed(pairs: DataFrame) -> tuple[np.ndarray, int]:
         return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
 
     shape = "slice int, bits binary"
-    found = sids.mapInArrow(mark, shape).groupBy("slice").applyInArrow(merge, shape).collect()
+    found = wanted.select("rid").mapInArrow(mark, shape).groupBy("slice").applyInArrow(merge, shape).collect()
     out = np.zeros(bits, bool)
     for r in found:
         out[r["slice"] * slice_bits : (r["slice"] + 1) * slice_bits] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
     return np.packbits(out), bits
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` of set numbers whose sets reach the threshold, by exact intersection."""
-    packed, bits = _needed(pairs)
+def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` of set numbers whose sets reach the threshold, by exact intersection.
+
+    The text of one row stands for each set; which row makes no difference.
+    """
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "rid"), "sid"))
+    packed, bits = _needed(wanted)
     shift = np.uint64(64 - bits.bit_length() + 1)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(packed).astype(bool)
-        sent: set[int] = set()
-        for part in slices(batches, "_text"):
-            keep, sids = [], []
-            for i, s in enumerate(shingle_sets(*text_bytes(part, "_text"), WIDTH)):
-                if len(s):
-                    sid = set_id(s)
-                    if sid not in sent and wanted[mix(np.array([sid], np.int64).view(np.uint64)) >> shift][0]:
-                        sent.add(sid)
-                        keep.append(i)
-                        sids.append(sid)
-            if keep:
-                yield pa.record_batch([pa.array(sids, pa.int64()), part.column("_text").take(pa.array(keep)).cast(pa.string())], ["sid", "_text"])
-
-    # One text for each set; which of equal sets' texts is taken makes no difference.
-    held = cut(rows.mapInArrow(texts, "sid bigint, _text string").groupBy("sid").agg(F.first("_text").alias("_text")))
+        marked = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(marked[mix(batch.column("rid").to_numpy().view(np.uint64)) >> shift]))
+
+    held = cut(rows.select("rid", "_text").mapInArrow(texts, "rid bigint, _text string").join(wanted, "rid").select("sid", "_text"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -245,22 +252,71 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, np.uint64).reshape(len(column), -1)
 
 
-def tile_pairs(sid: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group's rows, sorted by size, that are of different components and not refused. By tiles."""
-    out_a, out_b = [], []
-    for i in range(0, len(sid), TILE):
-        stop = int(np.searchsorted(n, 100 * n[min(i + TILE, len(n)) - 1] // PERCENT, side="right"))
+def tile_pairs(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of one group's rows, sorted by size, of different components and not refused. By tiles.
+
+    The first ``old`` rows have met each other before.
+    """
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(n), TILE):
+        x = np.arange(i, min(i + TILE, len(n)))
+        stop = int(np.searchsorted(n, 100 * n[x[-1]] // PERCENT, side="right"))
         for j in range(i, stop, TILE):
-            x, y = np.arange(i, min(i + TILE, len(sid))), np.arange(j, min(j + TILE, len(sid)))
-            near = (PERCENT * n[y][None, :] <= 100 * n[x][:, None]) & (comp[x][:, None] != comp[y][None, :]) & (x[:, None] < y[None, :])
+            y = np.arange(j, min(j + TILE, len(n)))
+            near = (PERCENT * n[y][None, :] <= 100 * n[x][:, None]) & (comp[x][:, None] != comp[y][None, :])
+            near &= (x[:, None] < y[None, :]) & (y[None, :] >= old)
             p, q = np.nonzero(near)
-            for k in range(0, len(p), 1 << 16):
-                u, v = x[p[k : k + (1 << 16)]], y[q[k : k + (1 << 16)]]
-                ok = enough(most_common(sig[u], sig[v], n[u], n[v]), n[u], n[v])
-                out_a.append(sid[u[ok]])
-                out_b.append(sid[v[ok]])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+            u, v = _unrefused(x[p], y[q], n, sig)
+            out_a.append(u)
+            out_b.append(v)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _unrefused(u: np.ndarray, v: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kept = [np.zeros(0, bool)]
+    for k in range(0, len(u), 1 << 15):
+        x, y = u[k : k + (1 << 15)], v[k : k + (1 << 15)]
+        kept.append(enough(most_common(sig[x], sig[y], n[x], n[y]), n[x], n[y]))
+    keep = np.concatenate(kept)
+    return u[keep], v[keep]
+
+
+def group_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within all groups of equal tokens, rows sorted by token and size.
+
+    Small groups go together, row by row with the next, the one after it, and so on;
+    large groups go by tiles. The first ``old`` rows, all of one token, have met before.
+    """
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    sizes = np.diff(np.append(starts, len(token)))
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        part = slice(start, start + size)
+        u, v = tile_pairs(comp[part], n[part], sig[part], max(0, min(size, old - start)))
+        out_a.append(u + start)
+        out_b.append(v + start)
+    ends = np.repeat(np.where(sizes > SMALL, 0, starts + sizes), sizes)
+    row = np.flatnonzero(np.arange(len(token)) + 1 < ends)
+    k = 1
+    while len(row):
+        other = row + k
+        ok = (comp[row] != comp[other]) & (PERCENT * n[other] <= 100 * n[row]) & (other >= old)
+        u, v = _unrefused(row[ok], other[ok], n, sig)
+        out_a.append(u)
+        out_b.append(v)
+        k += 1
+        row = row[row + k < ends[row]]
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def least_shared(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How many shingles the prefixes of two linked sets share at least.
+
+    A prefix is as long as the least overlap with any set asks for; with a set of about
+    the same size more overlap is needed, and the surplus falls into the prefixes.
+    """
+    overlap = -(-PERCENT * (na + nb) // (100 + PERCENT))
+    return overlap - (-(-PERCENT * np.maximum(na, nb) // 100)) + 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -288,33 +344,56 @@ def components(links: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     """``rid``, id, ``n_shingles``, ``root`` (null for an empty set), ``component_id``."""
     rows = _numbered(docs)
-    described = cut(_described(rows))
-    sets = cut(described.filter("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("signature").alias("signature")))
+    everything = cut(_described(rows))
+    described = everything.filter("rid is not null")
+    first_row = F.min(F.struct("rid", "n")).alias("first")
+    sets = described.filter("sid is not null").groupBy("sid").agg(first_row).select("sid", "first.rid", "first.n")
+    sets = cut(sets.join(described.select("rid", "signature"), "rid"))
     # Shingles that different sets share, each with the smallest set as its pivot.
     whole = Window.partitionBy("token")
     shared = cut(
-        _prefixes(rows, _frequent(rows))
+        _prefixes(rows, _order(everything))
         .select("token", "sid", F.min("sid").over(whole).alias("pivot"), F.max("sid").over(whole).alias("last"))
         .filter("pivot <> last").select("token", "sid", "pivot")
     )
     stars = shared.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = cut(_verified(rows, cut(_bounded(stars, sets))))
+    first = cut(_verified(rows, sets, cut(_bounded(stars, sets))))
     roots = components(first)
     placed = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
         "token", "sid", F.coalesce("root", "sid").alias("comp")
     )
     placed = cut(placed)
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    tiles = placed.join(mixed, "token").distinct().join(sets, "sid")
+    tiles = placed.join(mixed, "token").distinct().join(sets.drop("rid"), "sid")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token_rows in _groups(batches):
-            a, b = tile_pairs(*token_rows)
+        held: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, sid, comp, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("token", "sid", "comp", "n"))
+            sig = _words(batch.column(batch.schema.get_field_index("signature")))
+            old = len(held[0]) if held and held[0][0] == token[0] else 0
+            if old:
+                token, sid, comp, n, sig = (np.concatenate(c) for c in zip(held, (token, sid, comp, n, sig), strict=True))
+            a, b = group_pairs(token, comp, n, sig, old)
             if len(a):
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                swap = sid[a] > sid[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.record_batch([pa.array(sid[a]), pa.array(sid[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
+            # rows of the last token whose size band still reaches on
+            on = (token == token[-1]) & (100 * n >= PERCENT * n[-1])
+            held = tuple(c[on] for c in (token, sid, comp, n, sig))
 
-    pairs = tiles.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(tile, "a bigint, b bigint").distinct()
-    second = _verified(rows, cut(pairs))
+    met = tiles.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(tile, "a bigint, b bigint, na bigint, nb bigint")
+    times = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times"))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, n = (batch.column(c).to_numpy() for c in ("na", "nb", "times"))
+            yield batch.select(["a", "b"]).filter(pa.array(n >= least_shared(na, nb)))
+
+    second = _verified(rows, sets, cut(times.mapInArrow(often, "a bigint, b bigint")))
     links = first.unionByName(second)
     final = components(links)
     members = described.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -325,27 +404,6 @@ def _classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of rows with one token, as arrays."""
-    held: list[tuple[np.ndarray, ...]] = []
-    token = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tokens = batch.column(batch.schema.get_field_index("token")).to_numpy()
-        sid, comp, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("sid", "comp", "n"))
-        sig = _words(batch.column(batch.schema.get_field_index("signature")))
-        edges = np.flatnonzero(np.diff(tokens)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tokens)], strict=True):
-            if tokens[a] != token:
-                if held:
-                    yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held, token = [], tokens[a]
-            held.append((sid[a:b], comp[a:b], n[a:b], sig[a:b]))
-    if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-
-
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """Per document its id, the size of its set, and ``component_id``.
 

@@ -42,13 +42,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins[1:] &= ~inside[:-1]
     cuts = offsets[:-1][np.diff(offsets) > 0]
     begins[cuts] = inside[cuts]
-    where = np.flatnonzero(inside)
+    where = np.flatnonzero(inside).astype(np.int32) if len(data) < 1 << 31 else np.flatnonzero(inside)
     if not len(where):
         return np.zeros(0, np.uint64), np.zeros(n_texts + 1, np.int64)
     first = np.flatnonzero(begins[where])
     lengths = np.diff(np.append(first, len(where)))
-    place = np.arange(len(where)) - np.repeat(first, lengths)
-    values = VALUES[LOWER[data[where]]] * powers(int(lengths.max()))[place]
+    place = np.arange(len(where), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+    values = VALUES[LOWER[data[where]]]
+    values *= powers(int(lengths.max()))[place]
     hashes = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * STEP)
     counts = np.searchsorted(where[first], offsets)
     return hashes, counts.astype(np.int64)

@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -219,13 +220,29 @@ def test_tiles_find_all_linked_pairs_of_a_group(monkeypatch):
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
     sig = np.stack([np.frombuffer(jaccard.signature(s), np.uint64) for s in sets])
-    ids = np.arange(60)
-    a, b = jaccard.tile_pairs(ids, ids, n, sig)
-    found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    ids, token = np.arange(60), np.zeros(60, np.int64)
     linked = {(i, j) for i, j in combinations(range(60), 2) if 100 * (c := jaccard.common(sets[i], sets[j])) >= 75 * (n[i] + n[j] - c)}
-    assert linked and linked <= found
-    same = np.zeros(60, np.int64)
-    assert len(jaccard.tile_pairs(ids, same, n, sig)[0]) == 0
+    assert linked
+    for small in (5, 64):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        a, b = jaccard.group_pairs(token, ids, n, sig)
+        found = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert linked <= found and len(found) == len(a)
+        assert len(jaccard.group_pairs(token, token, n, sig)[0]) == 0
+        later = jaccard.group_pairs(token, ids, n, sig, old=30)
+        assert set(zip(*(x.tolist() for x in later), strict=True)) == {p for p in found if p[1] >= 30}
+
+
+def test_linked_sets_share_enough_of_their_prefixes():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.15], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        c = len(np.intersect1d(x, y))
+        if c and 100 * c >= 75 * (len(x) + len(y) - c):
+            shared = np.intersect1d(x[: jaccard.prefix_size(len(x))], y[: jaccard.prefix_size(len(y))])
+            assert len(shared) >= jaccard.least_shared(np.int64(len(x)), np.int64(len(y))) >= 1
 
 
 @settings(max_examples=200, deadline=None)
@@ -343,7 +360,7 @@ def test_pipeline_stages(spark):
             assert frames.columns == docs.columns
         rows[name] = {r["doc_id"]: r for r in frames.collect()}
     given_, left = kept["toxicity"]
-    machine = toxicity.train(given_, table(spark, DIRECTORY, "labels").filter(fold(docs.doc_id, 3) != 1))
+    machine = toxicity.train(given_, table(spark, DIRECTORY, "labels").filter(fold(F.col("doc_id"), 3) != 1))
     scores = {r[0]: r[2] for r in toxicity.score_toxicity(given_, machine).collect()}
     assert set(rows["toxicity"]) == {i for i, bad in scores.items() if not bad}
     hand = classes_by_hand([(i, r["text"]) for i, r in rows["toxicity"].items()])
