@@ -104,7 +104,11 @@ def damaged_keys(primary: Tree, replica: Tree) -> DataFrame:
             parents = bad.select(F.col("id").alias("up"))
             left = left.withColumn("up", up).join(parents, "up", "left_semi").select("id", "a")
             right = right.withColumn("up", up).join(parents, "up", "left_semi").select("id", "b")
-        bad = left.join(right, "id", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+        # Written, since both trees' next level asks for it.
+        bad = cut(left.join(right, "id", "full").filter(~F.col("a").eqNullSafe(F.col("b"))))
+        if level and bad.isEmpty():
+            bad = bad.limit(0)
+            break
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
     return bad.select("id", status.alias("status"))
 
