@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -35,6 +37,16 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; a Python worker that waits for its next task would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its own policy holds
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with up to ``limit`` bytes of text, or one row; nothing is left out."""
     for batch in batches:
@@ -46,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 def text_bytes(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +88,6 @@ def write_shared(df: DataFrame) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where unset, one in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named
-
-
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Removes a table that ``write_shared`` wrote and that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"

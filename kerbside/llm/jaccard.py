@@ -30,6 +30,8 @@ BITS = 1024
 FREQUENT, RANKED = 3, 1 << 20
 #: Rows of a tile.
 TILE = 512
+#: Bits for each element in the signatures that pairs are held against before their texts are.
+FINE = 4
 #: Groups up to this size are compared together, larger ones each by tiles.
 SMALL = 64
 #: Most bits of the filter that keeps texts out of the shuffle that no pair needs. A fuller filter only keeps out fewer.
@@ -53,6 +55,22 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def fine_signature(hashes: np.ndarray) -> bytes:
+    """A signature as wide as the set's size band asks for, so that large sets do not fill it."""
+    width = max(64, 1 << int(FINE * len(hashes) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(hashes >> np.uint64(17)).astype(np.int64) % width] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fine_enough(na: int, nb: int, a: bytes, b: bytes) -> bool:
+    """Whether signatures of two size bands leave room for the overlap that a link takes; the wider one is folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(s.reshape(-1, n), axis=0) for s in (x, y))
+    return bool(enough(most_common(x, y, np.int64(na), np.int64(nb)), na, nb))
+
+
 def most_common(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Bound from above of the overlap of sets of ``na`` and ``nb`` by their signatures (rows of uint64).
 
@@ -226,21 +244,42 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                     ok.append(100 * n >= PERCENT * (len(s) + len(last[1]) - n))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = pairs.join(held.select(F.col("sid").alias("a"), F.col("_text").alias("text_a")), "a")
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text"):
+            sets = shingle_sets(*text_bytes(part, "_text"), WIDTH)
+            fine = pa.array([fine_signature(s) for s in sets], pa.binary())
+            yield pa.record_batch([part.column("sid"), pa.array([len(s) for s in sets], pa.int64()), fine], ["sid", "n", "fine"])
+
+    def refuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [fine_enough(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "fa", "fb")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sketches = cut(held.mapInArrow(sketch, "sid bigint, n bigint, fine binary"))
+    side = lambda x: sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    left = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(refuse, "a bigint, b bigint"))
+    with_a = left.join(held.select(F.col("sid").alias("a"), F.col("_text").alias("text_a")), "a")
     with_b = with_a.join(held.select(F.col("sid").alias("b"), F.col("_text").alias("text_b")), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def _ranked(met: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` once, with how many ``times`` they met and the pair's ``rank`` by that among those of ``a``."""
+    times = met.groupBy("a", "b").agg(F.count("*").alias("times"))
+    return times.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b")))
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that sizes and signatures do not refuse."""
+    """Pairs that sizes and signatures do not refuse: a set's two likeliest, and those that met often enough."""
 
     def refuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            na, nb, times, rank = (batch.column(c).to_numpy() for c in ("na", "nb", "times", "rank"))
             a, b = (_words(batch.column(c)) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array(enough(most_common(a, b, na, nb), na, nb)))
+            keep = enough(most_common(a, b, na, nb), na, nb) & ((rank <= 2) | (times >= least_shared(na, nb)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -349,22 +388,24 @@ def _classes(docs: DataFrame) -> DataFrame:
     first_row = F.min(F.struct("rid", "n")).alias("first")
     sets = described.filter("sid is not null").groupBy("sid").agg(first_row).select("sid", "first.rid", "first.n")
     sets = cut(sets.join(described.select("rid", "signature"), "rid"))
-    # Shingles that different sets share, each with the smallest set as its pivot.
+    # Shingles that different sets share, each with the smallest and the largest of these sets.
     whole = Window.partitionBy("token")
     shared = cut(
         _prefixes(rows, _order(everything))
         .select("token", "sid", F.min("sid").over(whole).alias("pivot"), F.max("sid").over(whole).alias("last"))
-        .filter("pivot <> last").select("token", "sid", "pivot")
+        .filter("pivot <> last")
     )
-    stars = shared.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+    # The smallest and the largest set of a group are its pivots. Links that this step leaves out fall to the tiles.
+    stars = _ranked(shared.select(F.col("sid").alias("a"), F.explode(F.array("pivot", "last")).alias("b")).filter("a <> b"))
     first = cut(_verified(rows, sets, cut(_bounded(stars, sets))))
     roots = components(first)
+    # Only groups that still hold more than one component go on.
     placed = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
         "token", "sid", F.coalesce("root", "sid").alias("comp")
     )
-    placed = cut(placed)
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    tiles = placed.join(mixed, "token").distinct().join(sets.drop("rid"), "sid")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    shared = cut(placed.join(mixed.select("token"), "token"))
+    tiles = shared.distinct().join(sets.drop("rid"), "sid")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -394,7 +435,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(n >= least_shared(na, nb)))
 
     second = _verified(rows, sets, cut(times.mapInArrow(often, "a bigint, b bigint")))
-    links = first.unionByName(second)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = components(links)
     members = described.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     members = members.select("rid", ID, "n", "root")

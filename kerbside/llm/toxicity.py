@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import ID, TEXT, slices
+from kerbside.llm.common import ID, TEXT, give_back, slices
 
 #: Letters of a subsequence, alphabet (blank-free), weight of a spanned letter.
 P, ALPHABET, DECAY = 4, 39, 0.7
@@ -28,12 +28,12 @@ UNIT = 14
 LANDMARKS = 160
 #: Labelled documents of each class that are learned from, at most.
 PER_CLASS = 6000
-NEGATIVES = 12_000
-MINED = 100_000
+NEGATIVES = 8_000
+MINED = 60_000
 #: Toxic documents that a word must explain to count as an insult.
 LEAST = 3
 THRESHOLD = 0.7
-CACHE = 400_000
+CACHE = 100_000
 
 SCHEMA = f"{ID} bigint, score double, predicted int"
 #: Signs that stand for letters.
@@ -299,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
     pool = sorted(set(marked(clean)) - set(marked(positive)))
     step = max(1, len(pool) // NEGATIVES)
     machine = fit_machine(marked(positive), pool[::step], pool)
+    give_back()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine)
@@ -308,6 +309,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) ->
     found = sorted(map(tuple, sample.mapInArrow(score, "y int, margin double").collect()))
     y, margin = np.array([r[0] for r in found], float), np.array([r[1] for r in found])
     machine.slope, machine.shift = fit_line(margin, y)
+    give_back()
     return machine
 
 

@@ -210,6 +210,8 @@ def test_bound_is_never_below_the_overlap():
         exact = len(np.intersect1d(a, b))
         assert jaccard.common(a, b) == exact
         assert jaccard.most_common(sig[0], sig[1], np.int64(len(a)), np.int64(len(b))) >= exact
+        linked = 100 * exact >= 75 * (len(a) + len(b) - exact)
+        assert jaccard.fine_enough(len(a), len(b), jaccard.fine_signature(a), jaccard.fine_signature(b)) or not linked
 
 
 def test_tiles_find_all_linked_pairs_of_a_group(monkeypatch):
