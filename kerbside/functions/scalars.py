@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import constants as K
 
-# Characters a start time is made of; zone names and words are not read.
-INSTANT_CHARACTERS = r"^[0-9TZ:.+ -]+$"
-EPOCH_MS_TEXT = r"^-?\d{5,15}$"
+# Start times that are read: a year, month or day, or a day with a time, a fraction and a zone, each optional.
+START_TIME = (
+    r"^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,9}))?(Z|[+-]\d{2}(?::?\d{2})?)?)?)?)?$"
+)
+# Milliseconds since 1970 that a date can hold, either way.
+MAX_EPOCH_MS = 8_640_000_000_000_000
+# Look-backs beyond this many days reach all dates.
+MAX_DAYS = 4_000_000
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -37,28 +43,38 @@ def micros_to_utc(micros: Column) -> Column:
 
 
 def epoch_ms_to_utc(ms: Column) -> Column:
-    return as_utc(F.timestamp_millis(ms.cast("bigint")))
+    """Milliseconds since 1970 as UTC wall clock; null beyond what a date can hold."""
+    ms = ms.cast("bigint")
+    return F.when(F.abs(ms) <= MAX_EPOCH_MS, as_utc(F.timestamp_millis(ms)))
 
 
 def parse_instant(text: Column) -> Column:
     """Start-time text as UTC wall clock at millisecond precision, null when unreadable.
 
-    Read are ISO dates and date-times, with ``Z`` or an offset or, without, as UTC;
-    and whole numbers of five digits or more as milliseconds since 1970.
+    One pattern says what is read: ISO years, months, dates and date-times, these with
+    ``Z`` or an offset (hours, or hours and minutes) or, without, as UTC. All else is
+    refused, digits alone too, whatever their number; milliseconds come as a number.
     """
-    shifted = (F.length(text) > 10) & (text.endswith("Z") | F.substring(text, -6, 1).isin("+", "-"))
-    to_ms = F.when(text.contains("."), F.regexp_replace(text, r"(\.\d{3})\d+", "$1")).otherwise(text)
-    return (
-        F.when(text.rlike(EPOCH_MS_TEXT), epoch_ms_to_utc(text))
-        .when(~text.rlike(INSTANT_CHARACTERS), F.lit(None))
-        .when(shifted, as_utc(to_ms.try_cast("timestamp")))
-        .otherwise(to_ms.try_cast("timestamp_ntz"))
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, START_TIME, i)
+
+    zone = part(7)
+    day = F.concat_ws("-", part(1), F.when(part(2) != "", part(2)).otherwise("01"), F.when(part(3) != "", part(3)).otherwise("01"))
+    clock = F.concat(F.when(part(4) != "", part(4)).otherwise("00:00"), F.when(part(5) != "", part(5)).otherwise(":00"))
+    wall = F.concat(day, F.lit("T"), clock, F.lit("."), F.rpad(F.left(part(6), F.lit(3)), 3, "0")).try_cast("timestamp_ntz")
+    hours = F.substring(zone, 2, 2).try_cast("int")
+    minutes = F.coalesce(F.right(zone, F.lit(2)).try_cast("int"), F.lit(0))
+    offset = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(
+        (hours * 60 + F.when(F.length(zone) > 3, minutes).otherwise(0)) * F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1)
     )
+    sound = text.rlike(START_TIME) & (F.abs(offset) < 24 * 60)
+    return F.when(sound, wall - F.make_dt_interval(mins=offset))
 
 
-def start_or(text: Column, as_of: Column) -> Column:
-    """A blank start time means ``as_of``; an unreadable one stays null."""
-    return F.when(is_blank(text), as_of).otherwise(parse_instant(text.cast("string")))
+def start_or(text: Column, as_of: Column, ms: Column | None = None) -> Column:
+    """A start given as number ``ms`` or as text; neither means ``as_of``; an unreadable one stays null."""
+    from_text = F.when(is_blank(text), as_of).otherwise(parse_instant(text.cast("string")))
+    return from_text if ms is None else F.when(ms.isNotNull(), epoch_ms_to_utc(ms)).otherwise(from_text)
 
 
 def utc_day(c: Column) -> Column:
@@ -76,15 +92,20 @@ def as_timestamp(value: Column | dt.datetime | str) -> Column:
 
 
 def lookback_days(days) -> Column:
-    """Leading whole number of the text, else the default."""
+    """Leading whole number of the text, else the default; up to ``MAX_DAYS`` either way, which reaches all dates."""
     text = days if isinstance(days, Column) else F.lit(None if days is None else str(days))
     digits = F.regexp_extract(text.cast("string"), r"^\s*([+-]?[0-9]+)", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(K.DEFAULT_LOOKBACK_DAYS))
+    far = F.when(F.left(digits, F.lit(1)) == "-", F.lit(-MAX_DAYS)).otherwise(F.lit(MAX_DAYS))
+    number = F.when(digits != "", F.coalesce(digits.try_cast("bigint"), far.cast("bigint")))
+    # Null stays null here, which least and greatest alone would not do.
+    bounded = F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(MAX_DAYS)), F.lit(-MAX_DAYS)))
+    return F.coalesce(bounded, F.lit(K.DEFAULT_LOOKBACK_DAYS)).cast("int")
 
 
 def since_day(days, as_of) -> Column:
-    """First day kept by a look-back of ``days`` before ``as_of``."""
-    return F.date_sub(as_timestamp(as_of).cast("date"), lookback_days(days))
+    """First day kept by a look-back of ``days`` before ``as_of``, no earlier than year 1 and no later than 9999."""
+    day = F.date_sub(as_timestamp(as_of).cast("date"), lookback_days(days))
+    return F.greatest(F.least(day, F.lit(LAST_DAY).cast("date")), F.lit(FIRST_DAY).cast("date"))
 
 
 def minutes_of(seconds: Column) -> Column:

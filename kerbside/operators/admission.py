@@ -18,8 +18,10 @@ def _verdict(rules: list[tuple[Column, int, str]]) -> tuple[Column, Column]:
     return status, message
 
 
-def _start_at(as_of) -> Column:
-    return S.start_or(F.col("start_time"), S.as_timestamp(as_of))
+def _start_at(requests: DataFrame, as_of) -> Column:
+    """The start; a request may give it as a number of milliseconds in ``start_ms`` in place of a text."""
+    ms = F.col("start_ms") if "start_ms" in requests.columns else None
+    return S.start_or(F.col("start_time"), S.as_timestamp(as_of), ms)
 
 
 def _is_incomplete() -> Column:
@@ -34,7 +36,7 @@ def spot_winners(requests: DataFrame, spots: DataFrame, as_of) -> DataFrame:
     start time cannot be read does not take the spot.
     """
     first = (
-        requests.filter(~_is_incomplete() & _start_at(as_of).isNotNull())
+        requests.filter(~_is_incomplete() & _start_at(requests, as_of).isNotNull())
         .groupBy("spot_id", "lot_id")
         .agg(F.min("seq").alias("winner_seq"))
     )
@@ -47,7 +49,8 @@ def spot_winners(requests: DataFrame, spots: DataFrame, as_of) -> DataFrame:
 def decide_reservations(requests: DataFrame, spots: DataFrame, as_of) -> DataFrame:
     """Every request with ``start_at``, ``status`` and ``message``.
 
-    Requests count in ``seq`` order. Once a spot is won it stays taken. The one
+    Requests count in ``seq`` order, and ``seq`` must differ between requests: of two with
+    the same number both would win. Once a spot is won it stays taken. The one
     large join keeps the requests on its preserved side, which adaptive execution
     may split when a spot is hot.
     """
@@ -65,7 +68,7 @@ def decide_reservations(requests: DataFrame, spots: DataFrame, as_of) -> DataFra
         ]
     )
     return (
-        requests.withColumn("start_at", _start_at(as_of))
+        requests.withColumn("start_at", _start_at(requests, as_of))
         .join(state, "spot_id", "left")
         .withColumns({"status": status, "message": message})
         .select(*requests.columns, "start_at", "status", "message")

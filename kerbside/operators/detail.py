@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kerbside.sources.tables import append_rows
 
@@ -26,18 +27,16 @@ def _children(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return event_rows.unionByName(session_rows, allowMissingColumns=True)
 
 
-def _child_counts(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    return append_rows(events.select(KEY), sessions.select(KEY)).groupBy(KEY).agg(F.count("*").alias("n"))
-
-
-def _with_childless(reservations: DataFrame, matched: DataFrame, counts: DataFrame) -> DataFrame:
+def _with_childless(reservations: DataFrame, matched: DataFrame, *children: DataFrame) -> DataFrame:
     """``matched`` parents plus those without children.
 
-    An inner join and an anti join on the counted keys in place of one left join:
-    Spark can split a hot parent on either side of an inner join, but not on the
-    child side of a left join.
+    An inner join and anti joins on the keys alone in place of one left join: Spark can
+    split a hot parent on either side of an inner join, but not on the child side of a
+    left join.
     """
-    childless = reservations.join(counts, KEY, "left_anti")
+    childless = reservations
+    for rows in children:
+        childless = childless.join(rows.select(KEY).distinct(), KEY, "left_anti")
     return matched.unionByName(childless, allowMissingColumns=True)
 
 
@@ -47,44 +46,55 @@ def reservation_rows(reservations: DataFrame, events: DataFrame, sessions: DataF
     Children stay rows, so a parent of any size is spread over tasks.
     """
     matched = _children(events, sessions).join(reservations, KEY)
-    return _with_childless(reservations, matched, _child_counts(events, sessions))
+    return _with_childless(reservations, matched, events, sessions)
+
+
+def _ranked(children: DataFrame, at: str, child_id: str, newest_first: bool) -> DataFrame:
+    """Children with ``rank`` from 0 in the order of time and id within their reservation; no time comes last.
+
+    Rows are ranked within a day, and days start where the counts of those before them
+    end, so a busy reservation is spread over its days.
+    """
+    day = F.coalesce(F.col(at).cast("date"), F.lit("0001-01-01" if newest_first else "9999-12-31").cast("date"))
+    turn = (lambda c: c.desc_nulls_last()) if newest_first else (lambda c: c.asc_nulls_last())
+    dated = children.withColumn("_day", day)
+    days = dated.groupBy(KEY, "_day").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(KEY).orderBy(turn(F.col("_day"))).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(KEY, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(KEY, "_day").orderBy(turn(F.col(at)), turn(F.col(child_id)))
+    return (
+        dated.withColumn("_place", F.row_number().over(within) - 1)
+        .join(days, [KEY, "_day"])
+        .withColumn("rank", F.col("_first") + F.col("_place"))
+        .drop("_day", "_place", "_first")
+    )
 
 
 def reservation_detail(
     reservations: DataFrame, events: DataFrame, sessions: DataFrame, page: int = 10_000
 ) -> DataFrame:
-    """Each reservation with its event list, newest first, and its session list.
+    """Each reservation with its event list, newest first, and its session list, oldest first, in pages.
 
-    A reservation with up to ``page`` children is one row with ``part`` 0, and empty
-    lists when it has none. Only a larger one is dealt out by child id over several
-    rows, each with about ``page`` children in order, so no list grows without
-    bound and none is cut.
+    ``part`` k holds ranks k * page up to (k + 1) * page of both lists, so the lists of a
+    reservation's parts, one after the other, are its whole lists in order. A
+    reservation without children is one row, part 0, with empty lists.
     """
-    large = (
-        _child_counts(events, sessions)
-        .filter(F.col("n") > page)
-        .select(KEY, F.ceil(F.col("n") / page).alias("parts"))
-    )
-    parent = F.struct(*[c for c in reservations.columns if c != KEY])
-    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)
-    parents = reservations.join(large, KEY, "left").select(
-        KEY, F.explode(parts).alias("part"), parent.alias("parent")
+    def pages(ranked: DataFrame, kind: str) -> DataFrame:
+        row = F.struct("rank", F.struct(*[c for c in ranked.columns if c not in (KEY, "rank")]).alias("row"))
+        return ranked.select(KEY, F.floor(F.col("rank") / page).alias("part"), row.alias(kind))
+
+    children = pages(_ranked(events, "recorded_at", "event_id", True), "event").unionByName(
+        pages(_ranked(sessions, "started_at", "session_id", False), "session"), allowMissingColumns=True
     )
-    part = F.coalesce(F.pmod(F.xxhash64("child_id"), F.col("parts")), F.lit(0).cast("bigint"))
-    children = _children(events, sessions).join(large, KEY, "left").select(
-        KEY, part.alias("part"), "kind", "event", "session"
+    lists = children.repartition(KEY, "part").groupBy(KEY, "part").agg(
+        F.sort_array(F.collect_list("event")).alias("_events"), F.sort_array(F.collect_list("session")).alias("_sessions")
     )
-    newest_first = F.struct(F.col("event.recorded_at"), F.col("event.event_id"), F.col("event").alias("row"))
-    return (
-        children.unionByName(parents, allowMissingColumns=True)
-        # Parents and children meet in one shuffle; lists are built after it, not in part before it.
-        .repartition(KEY, "part")
-        .groupBy(KEY, "part")
-        .agg(
-            F.first("parent", ignorenulls=True).alias("parent"),
-            F.sort_array(F.collect_list(F.when(F.col("kind") == "event", newest_first)), asc=False).alias("events"),
-            F.collect_list("session").alias("sessions"),
-        )
-        .filter(F.col("parent").isNotNull())
-        .select(KEY, "part", "parent.*", F.col("events.row").alias("events"), "sessions")
+    none = [F.array().cast(lists.schema[c].dataType) for c in ("_events", "_sessions")]
+    joined = reservations.join(lists, KEY, "left")
+    return joined.select(
+        KEY,
+        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
+        *[c for c in reservations.columns if c != KEY],
+        F.coalesce("_events", none[0])["row"].alias("events"),
+        F.coalesce("_sessions", none[1])["row"].alias("sessions"),
     )

@@ -10,6 +10,7 @@ from kerbside.functions import scalars as S
 from kerbside.operators.admission import accepted, decide_reservations, decide_sessions, rejected
 from kerbside.operators.metrics import reservation_deltas, session_deltas, sum_deltas
 from kerbside.operators.slots import set_where_key_in
+from kerbside.sources.tables import cut_lineage
 
 def _no_text() -> Column:
     return F.lit(None).cast("string")
@@ -92,12 +93,12 @@ def session_tables(started: DataFrame, as_of, spot_type: str = "string") -> dict
 
 
 def ingest_reservations(
-    requests: DataFrame, spots: DataFrame, as_of, keep=lambda decisions: decisions
+    requests: DataFrame, spots: DataFrame, as_of, keep=cut_lineage
 ) -> dict[str, DataFrame]:
     """A batch of reservation requests as the tables it changes.
 
-    ``keep`` may store the decisions once (for instance ``cut_lineage``), so that
-    the tables are read from the stored rows and the request join runs once.
+    ``keep`` stores the decisions once, so that the tables are read from the stored rows
+    and the request join runs once. A caller that reads one table alone may leave it out.
     """
     decisions = keep(decide_reservations(requests, spots, as_of))
     taken = accepted(decisions)
@@ -109,7 +110,7 @@ def ingest_reservations(
 
 
 def ingest_sessions(
-    requests: DataFrame, stations: DataFrame, as_of, keep=lambda decisions: decisions
+    requests: DataFrame, stations: DataFrame, as_of, keep=cut_lineage
 ) -> dict[str, DataFrame]:
     """A batch of session requests as the tables it changes."""
     decisions = keep(decide_sessions(requests, stations))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import constants as K
 from kerbside.functions import scalars as S
-from kerbside.sources.tables import cut_lineage
+from kerbside.sources.tables import cut_lineage, drop_written
 
 WIDTH = 1 << 16
 START = -1  # seq of the state before the log
@@ -213,11 +213,12 @@ def _accepted_through_cancels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.lit(True).alias("told")
         )
         ahead = state.select(F.col("seq").alias("jump"), F.col("jump").alias("next"))
-        state = cut_lineage(
+        before, state = state, cut_lineage(
             state.join(told, "seq", "left")
             .join(ahead, "jump", "left")
             .select("seq", (F.col("ok") | F.coalesce("told", F.lit(False))).alias("ok"), F.col("next").alias("jump"))
         )
+        drop_written(before)
     return state.filter("ok").select("seq")
 
 

@@ -199,6 +199,28 @@ ended AS (SELECT slot_id, arg_max(status_after, pos) AS status, arg_max(listed,
           FROM fold GROUP BY slot_id)
 """
 
+def _detail_pages(page: int) -> str:
+    cents = "CAST(ROUND(l_extendedprice * 100) AS BIGINT)"
+    parts = f"l_orderkey, l_partkey, l_suppkey, l_linenumber, {cents}"
+    return f"""
+WITH e AS (SELECT reservation_id, status, recorded_at,
+                  (ROW_NUMBER() OVER (PARTITION BY reservation_id ORDER BY recorded_at DESC) - 1) // {page} AS part
+           FROM ({RESERVATION_EVENTS}) v),
+lines AS (SELECT l_orderkey, l_shipdate, {cents} AS cost, sha256(concat_ws('|', 'session', {parts},
+                 ROW_NUMBER() OVER (PARTITION BY {parts} ORDER BY l_shipdate, l_quantity) - 1)) AS session_id FROM lineitem),
+s AS (SELECT l_orderkey AS reservation_id, cost,
+             (ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, session_id) - 1) // {page} AS part FROM lines),
+ep AS (SELECT reservation_id, part, COUNT(*) AS n_events, string_agg(status, ',' ORDER BY recorded_at DESC) AS event_statuses
+       FROM e GROUP BY ALL),
+sp AS (SELECT reservation_id, part, COUNT(*) AS n_sessions, CAST(SUM(cost) AS BIGINT) AS cost FROM s GROUP BY ALL),
+p AS (SELECT reservation_id, part FROM ep UNION SELECT reservation_id, part FROM sp)
+SELECT r.reservation_id, COALESCE(p.part, 0) AS part, r.status, COALESCE(n_events, 0) AS n_events,
+       COALESCE(event_statuses, '') AS event_statuses, COALESCE(n_sessions, 0) AS n_sessions, COALESCE(cost, 0) AS cost
+FROM ({RESERVATIONS}) r LEFT JOIN p USING (reservation_id)
+LEFT JOIN ep ON ep.reservation_id = p.reservation_id AND ep.part = p.part
+LEFT JOIN sp ON sp.reservation_id = p.reservation_id AND sp.part = p.part"""
+
+
 ORACLE: dict[str, str] = {
     "analytics_daily": f"""
 SELECT d.lot_id, n.n_name AS lot_name, d.day, d.reservations_count AS reservations,
@@ -255,15 +277,19 @@ FROM ({RESERVATIONS}) r LEFT JOIN (
   SELECT l_orderkey, 'session', NULL, NULL, l_suppkey, l_shipdate, l_quantity,
          CAST(ROUND(l_extendedprice * 100) AS BIGINT)
   FROM lineitem) c ON c.reservation_id = r.reservation_id""",
-    "reservation_detail_nested": f"""
-SELECT r.reservation_id, CAST(0 AS BIGINT) AS part, r.status, e.n_events, e.event_statuses,
-       COALESCE(s.n_sessions, 0) AS n_sessions, COALESCE(s.cost, 0) AS cost
-FROM ({RESERVATIONS}) r
-JOIN (SELECT reservation_id, COUNT(*) AS n_events, string_agg(status, ',' ORDER BY recorded_at DESC) AS event_statuses
-      FROM ({RESERVATION_EVENTS}) v GROUP BY reservation_id) e ON e.reservation_id = r.reservation_id
-LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n_sessions,
-                  CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cost
-           FROM lineitem GROUP BY l_orderkey) s ON s.l_orderkey = r.reservation_id""",
+    "reservation_detail_nested": _detail_pages(10_000),
+    "reservation_detail_pages": _detail_pages(3),
+    "start_times": """
+SELECT o_orderkey AS seq, CASE o_orderkey % 10
+         WHEN 0 THEN d WHEN 1 THEN d + INTERVAL 10 HOUR + INTERVAL 20 MINUTE + INTERVAL 30 SECOND WHEN 2 THEN d + INTERVAL 18 HOUR
+         WHEN 3 THEN d + INTERVAL 4 HOUR + INTERVAL 50 MINUTE + INTERVAL 30 SECOND
+         WHEN 4 THEN d + INTERVAL 10 HOUR + INTERVAL 20 MINUTE + INTERVAL 30123 MILLISECOND
+         WHEN 5 THEN d + INTERVAL 3 HOUR WHEN 6 THEN d + INTERVAL 123 MILLISECOND END AS start_at
+FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d FROM orders) o""",
+    "lookback_texts": """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN DATE '2001-07-29' WHEN 1 THEN DATE '2001-07-20' WHEN 2 THEN DATE '0001-01-01'
+         WHEN 3 THEN DATE '2001-08-03' WHEN 6 THEN DATE '0001-01-01' ELSE DATE '2001-07-25' END AS since
+FROM events""",
     "nested_lot_flatten": """
 SELECT s_suppkey AS lot_id, 'spot' AS kind, 'S' || i AS name, i % 2 = 1 AS is_available
 FROM (SELECT s_suppkey, UNNEST(generate_series(1, s_suppkey % 4 + 1)) AS i FROM supplier) u

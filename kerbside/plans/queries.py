@@ -146,11 +146,10 @@ def reservation_detail(spark, d):
     )
 
 
-@query
-def reservation_detail_nested(spark, d):
+def _nested(spark, d, **page):
     """The nested form: list sizes, ordered event statuses and session totals."""
     nested = detail.reservation_detail(
-        A.reservations(spark, d), A.reservation_events(spark, d), A.charging_sessions(spark, d)
+        A.reservations(spark, d), A.reservation_events(spark, d), A.charging_sessions(spark, d), **page
     )
     total = F.aggregate("sessions", F.lit(0).cast("bigint"), lambda acc, s: acc + s.cost)
     return nested.select(
@@ -164,6 +163,28 @@ def reservation_detail_nested(spark, d):
     )
 
 
+@query
+def reservation_detail_nested(spark, d):
+    return _nested(spark, d)
+
+
+@query
+def reservation_detail_pages(spark, d):
+    """Pages of three, so that many reservations have several."""
+    return _nested(spark, d, page=3)
+
+
+@query
+def start_times(spark, d):
+    start = S.start_or(F.col("start_time"), S.as_timestamp(AS_OF), F.col("start_ms"))
+    return A.start_forms(spark, d).select("seq", start.alias("start_at"))
+
+
+@query
+def lookback_texts(spark, d):
+    return A.lookback_texts(spark, d).select("event_id", S.since_day(F.col("days"), AS_OF).alias("since"))
+
+
 @query
 def nested_lot_flatten(spark, d):
     """Spots and stations of nested creates, each with its lot."""

@@ -62,7 +62,7 @@ REQUESTS = {
     # One stream carries both kinds; ``received_at`` is the arrival time.
     "stream_requests": (
         "kind string, seq bigint, received_at timestamp_ntz, lot_id string, spot_id string, user_id string, "
-        "vehicle_plate string, start_time string, station_id string, reservation_id string, "
+        "vehicle_plate string, start_time string, start_ms bigint, station_id string, reservation_id string, "
         "energy_kwh double, cost bigint"
     ),
 }

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from kerbside.functions import scalars as S
 from kerbside.sources.tables import read_table
 
 AVAILABLE_OVER = 4500
@@ -112,9 +114,12 @@ def _cents() -> Column:
 
 
 def charging_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as sessions; the id is a hash of the row, which has no natural key."""
-    return read_table(spark, d, "lineitem").select(
-        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("session_id"),
+    """Line items as sessions; the id is a 256-bit hash of the row and, among equal rows, its number."""
+    parts = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "_cents"]
+    equal = Window.partitionBy(*parts).orderBy("l_shipdate", "l_quantity")
+    lines = read_table(spark, d, "lineitem").withColumn("_cents", _cents())
+    return lines.withColumn("_twin", F.row_number().over(equal) - 1).select(
+        S.key_of("session", *[F.col(c) for c in [*parts, "_twin"]]).alias("session_id"),
         F.col("l_orderkey").alias("reservation_id"),
         F.col("l_suppkey").alias("station_id"),
         F.col("l_linenumber").alias("line_number"),
@@ -189,8 +194,11 @@ def session_requests(spark: SparkSession, d: str) -> DataFrame:
     station = F.when(F.col("line_number") == 2, -F.col("station_id") - 1).when(
         F.col("line_number") > 2, F.col("station_id")
     )
+    # An arrival number: order, line, and the number among the order's lines of that number.
+    same_line = Window.partitionBy("reservation_id", "line_number").orderBy("session_id")
+    seq = F.col("reservation_id") * 4096 + F.col("line_number") * 256 + F.row_number().over(same_line)
     return charging_sessions(spark, d).select(
-        F.col("session_id").alias("seq"),
+        seq.alias("seq"),
         station.alias("station_id"),
         "reservation_id",
         F.lit(None).cast("string").alias("user_id"),
@@ -318,3 +326,25 @@ def nested_lots(spark: SparkSession, d: str) -> DataFrame:
         F.array(charger).alias("stations"),
     )
 
+
+
+def start_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's date in one of the forms that a start time may have, or as a number, or unreadable."""
+    day = F.col("o_orderdate").cast("date")
+    form = F.col("o_orderkey") % 10
+    tails = {1: "T10:20:30Z", 2: "T23:30:00+05:30", 3: "T10:20:30+0530", 4: "T10:20:30.123456", 5: " 01:00-02", 8: "T10:20 Europe/Berlin"}
+    text = F.when(form == 0, day.cast("string")).when(form == 7, "soon").when(form == 9, F.date_format(day.cast("timestamp_ntz"), "yyyyMMdd"))
+    for n, tail in tails.items():
+        text = text.when(form == n, F.concat(day.cast("string"), F.lit(tail)))
+    days = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return read_table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"), text.alias("start_time"), F.when(form == 6, days * 86_400_000 + 123).alias("start_ms")
+    )
+
+
+def lookback_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Look-back texts, some beyond what an integer or a long holds."""
+    texts = ["3", " 12", "2147483648", "-2", "abc", "7.9", "99999999999999999999", ""]
+    return read_table(spark, d, "events").select(
+        "event_id", F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % len(texts) + 1).cast("int")).alias("days")
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -81,16 +80,17 @@ def append_rows(*frames: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where unset and local."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="kerbside-checkpoint-")
-    sc.setCheckpointDir(own)
-    return own
+    """The shared folder named by ``spark.checkpoint.dir``; where unset, a folder in the warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+
+
+def drop_written(df: DataFrame) -> None:
+    """Removes the table that ``cut_lineage`` wrote for ``df``, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Everything a micro-batch writes goes to ``<table>/batch_id=N``, so a batch that broke
 off and is run again overwrites only itself. Daily metrics are kept by month: batch N reads the
 months it touches as of batch N-1, adds its deltas and writes them anew under its own
-number. The manifest of batch N, written last, names the batch that holds each month;
+number. The manifest of batch N, written last, names the batch that holds each month,
+and has one row without a month, so that a batch without metrics counts as well;
 until it is there, readers see batch N-1. Start times may lie anywhere in the past or
 future and count on their own day.
 
@@ -53,13 +54,13 @@ def taken_spots(spark: SparkSession, out: str, batch: int) -> DataFrame:
 def _manifest(spark: SparkSession, out: str, batch: int) -> DataFrame:
     if batch < 0:
         return spark.createDataFrame([], MANIFEST)
-    return read_rows(spark, _folder(out, "manifest", batch), MANIFEST)
+    return read_rows(spark, _folder(out, "manifest", batch), MANIFEST).filter("month is not null")
 
 
 def _is_published(spark: SparkSession, out: str, batch: int) -> bool:
-    """Whether the batch has run to its end; an empty manifest does not count, and its batch may run again."""
+    """Whether the batch has run to its end."""
     try:
-        return not _manifest(spark, out, batch).isEmpty()
+        return not read_rows(spark, _folder(out, "manifest", batch), MANIFEST).isEmpty()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return False
@@ -82,8 +83,11 @@ def _publish_metrics(deltas: DataFrame, out: str, batch: int) -> None:
     held = _months(spark, out, before.join(touched, "month", "left_semi"))
     merged = metrics.merge_metrics(held, deltas)
     merged.select("*", month).write.mode("overwrite").partitionBy("month").parquet(_folder(out, "metrics", batch))
+    held_by = F.lit(batch).cast("bigint").alias("held_by")
     now = append_rows(
-        before.join(touched, "month", "left_anti"), touched.withColumn("held_by", F.lit(batch).cast("bigint"))
+        before.join(touched, "month", "left_anti"),
+        touched.select("month", held_by),
+        spark.range(1).select(F.lit(None).cast("string").alias("month"), held_by),
     )
     now.coalesce(1).write.mode("overwrite").parquet(_folder(out, "manifest", batch))
 
@@ -93,12 +97,14 @@ def process_batch(requests: DataFrame, batch: int, out: str, spots: DataFrame, s
     spark = requests.sparkSession
     if _is_published(spark, out, batch):
         return
+    # Both kinds of requests are read from the stored rows; the source is parsed once.
+    requests = _store(requests, out, "requests", batch)
     now = F.col("received_at")
 
     taken = taken_spots(spark, out, batch)
     open_spots = set_where_key_in(spots, taken, "spot_id", "is_available", False)
     asked = requests.filter(F.col("kind") == "reservation").select(
-        "seq", "received_at", "lot_id", "spot_id", "user_id", "vehicle_plate", "start_time"
+        "seq", "received_at", "lot_id", "spot_id", "user_id", "vehicle_plate", "start_time", "start_ms"
     )
     reservation_decisions = _store(decide_reservations(asked, open_spots, now), out, "reservation_decisions", batch)
     won = accepted(reservation_decisions)

@@ -27,7 +27,12 @@ STARTS = [
     ("2024-03-05T10:20:30.123456", T(2024, 3, 5, 10, 20, 30, 123000)),
     ("2024-03-05T23:30:00+05:30", T(2024, 3, 5, 18, 0)),
     ("2024-03-05T23:30:00-02:00", T(2024, 3, 6, 1, 30)),
-    ("1700000000123", T(2023, 11, 14, 22, 13, 20, 123000)),
+    ("2024-03-05T10:20:30+0530", T(2024, 3, 5, 4, 50, 30)),
+    ("2024-03-05T10:20:30-02", T(2024, 3, 5, 12, 20, 30)),
+    # Digits alone are a year or nothing; milliseconds come as a number.
+    ("1700000000123", None),
+    ("20240305", None),
+    ("12345", None),
     ("2099-12-31T00:00:00Z", T(2099, 12, 31)),
     ("soon", None),
     ("2024-13-01", None),
@@ -54,9 +59,21 @@ def test_blank_start_is_as_of(spark):
     assert got == [now, now, None, T(2024, 5, 6)]
 
 
+def test_numeric_start(spark):
+    now = S.as_timestamp(T(2024, 1, 2))
+    got = values(spark, [0, 12345, 1700000000123, -86400000, 8640000000000001], "bigint", lambda c: S.start_or(F.lit("soon"), now, c))
+    assert got == [T(1970, 1, 1), T(1970, 1, 1, 0, 0, 12, 345000), T(2023, 11, 14, 22, 13, 20, 123000), T(1969, 12, 31), None]
+
+
+def test_longer_lookback_never_keeps_less(spark):
+    asked = ["7", "2147483647", "2147483648", "9" * 30]
+    got = values(spark, asked, "string", lambda c: S.since_day(c, T(2001, 8, 1)))
+    assert got == [dt.date(2001, 7, 25), dt.date(1, 1, 1), dt.date(1, 1, 1), dt.date(1, 1, 1)]
+
+
 def test_lookback_text(spark):
     asked = [None, "", "abc", "3abc", " 12", "0", "-2", "+4", "7.9", "99999999999999999999"]
-    assert values(spark, asked, "string", S.lookback_days) == [7, 7, 7, 3, 12, 0, -2, 4, 7, 7]
+    assert values(spark, asked, "string", S.lookback_days) == [7, 7, 7, 3, 12, 0, -2, 4, 7, S.MAX_DAYS]
 
 
 def test_since_day_covers_eight_days(spark):
