@@ -11,7 +11,7 @@ from kerbside.operators import metrics
 from kerbside.sources import adapters as A
 
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = entry.REGISTRY
 
 
 def plan(df) -> str:
