@@ -199,6 +199,21 @@ ended AS (SELECT slot_id, arg_max(status_after, pos) AS status, arg_max(listed,
           FROM fold GROUP BY slot_id)
 """
 
+def _occupied(last: str = "arg_max(value, event_id)") -> str:
+    return f"""
+SELECT lot_id, day, COALESCE(reservations_count, 0) AS reservations_count,
+       COALESCE(charging_sessions_count, 0) AS charging_sessions_count,
+       COALESCE(energy_kwh, CAST(0 AS DOUBLE)) AS energy_kwh, COALESCE(revenue_cents, 0) AS revenue_cents,
+       avg_occupancy_percent
+FROM ({DAILY}) d FULL JOIN (
+  SELECT CAST(user_id % 25 AS INTEGER) AS lot_id, CAST(ts AS DATE) AS day, {last} AS avg_occupancy_percent
+  FROM events GROUP BY 1, 2) o USING (lot_id, day)"""
+
+
+LATEST_OCCUPIED = f"""
+SELECT * FROM ({_occupied()}) x QUALIFY ROW_NUMBER() OVER (PARTITION BY lot_id ORDER BY day DESC) = 1"""
+
+
 def _detail_pages(page: int) -> str:
     cents = "CAST(ROUND(l_extendedprice * 100) AS BIGINT)"
     parts = f"l_orderkey, l_partkey, l_suppkey, l_linenumber, {cents}"
@@ -250,6 +265,21 @@ SELECT n_nationkey AS lot_id, n_name AS name, CAST(NULL AS VARCHAR) AS address,
        n_nationkey % 2 = 0 AS has_ev_charging, CAST(NULL AS INTEGER) AS distance_meters,
        CAST(NULL AS DOUBLE) AS latest_avg_occupancy_percent, reservations_count AS latest_reservations
 FROM nation LEFT JOIN ({OPEN_SPOTS}) a ON a.lot_id = n_nationkey LEFT JOIN ({LATEST}) m ON m.lot_id = n_nationkey""",
+    "analytics_daily_with_occupancy": f"""
+SELECT d.lot_id, n.n_name AS lot_name, d.day, d.reservations_count AS reservations,
+       d.charging_sessions_count AS charging_sessions, d.energy_kwh, d.revenue_cents, d.avg_occupancy_percent,
+       n_nationkey % 2 = 0 AS has_ev_charging
+FROM ({_occupied()}) d JOIN nation n ON n.n_nationkey = d.lot_id WHERE d.day >= DATE '2000-06-27'""",
+    "latest_metric_with_occupancy": LATEST_OCCUPIED,
+    "lots_overview_with_occupancy": f"""
+SELECT n_nationkey AS lot_id, n_name AS name, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS INTEGER) AS total_spots,
+       COALESCE(available_spots, 0) AS available_spots, CAST(NULL AS INTEGER) AS price_per_hour,
+       n_nationkey % 2 = 0 AS has_ev_charging, CAST(NULL AS INTEGER) AS distance_meters,
+       avg_occupancy_percent AS latest_avg_occupancy_percent, reservations_count AS latest_reservations
+FROM nation LEFT JOIN ({OPEN_SPOTS}) a ON a.lot_id = n_nationkey LEFT JOIN ({LATEST_OCCUPIED}) m ON m.lot_id = n_nationkey""",
+    "merge_metrics_with_occupancy": _occupied(
+        "COALESCE(arg_max(value, event_id) FILTER (WHERE value > 50), arg_max(value, event_id) FILTER (WHERE value <= 50))"
+    ),
     "lot_spots": f"SELECT * FROM ({SPOTS}) s WHERE lot_id = 3",
     "stations_scan": """
 SELECT s_suppkey AS station_id, s_nationkey AS lot_id, s_name AS name, s_acctbal > 0 AS is_available FROM supplier""",
@@ -376,6 +406,14 @@ SELECT event_id, text = 'null' AS is_null,
        CASE WHEN text = '' THEN -1 WHEN text = 'null' THEN NULL WHEN NOT json_valid(text) THEN -1
             ELSE COALESCE(TRY_CAST(json_extract_string(text, '$.k') AS INTEGER), -1) END AS k
 FROM ({STATE_TEXTS}) t""",
+    "json_state_load_list": """
+SELECT event_id, event_type = 'view' AND value < 50 AS is_null,
+       CAST(CASE WHEN event_type = 'view' AND value < 50 THEN NULL
+                 WHEN event_type NOT IN ('error', 'signup', 'view', 'click') AND event_id % 3 <> 0 THEN 2 ELSE 1 END AS BIGINT) AS n,
+       CASE WHEN event_type = 'view' AND value < 50 THEN NULL
+            WHEN event_type NOT IN ('error', 'signup', 'view', 'click') AND event_id % 3 <> 0
+            THEN CAST(json_extract(props, '$.k') AS INTEGER) ELSE -1 END AS k
+FROM events""",
     "json_state_save": f"""
 SELECT slot_id, '{{"slot_id":' || slot_id || ',"type":"' || type || '","status":"' || status || '"}}' AS state
 FROM ({SLOTS}) s""",

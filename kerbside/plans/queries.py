@@ -91,6 +91,45 @@ def lots_overview(spark, d):
     return lots.lots_overview(A.lots(spark, d), A.spots(spark, d), _metrics(spark, d))
 
 
+# --- the same with occupancy ------------------------------------------------
+
+
+def _occupied(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return _metrics(spark, d, samples=A.occupancy_samples(spark, d), **kw)
+
+
+@query
+def analytics_daily_with_occupancy(spark, d):
+    recent = _occupied(spark, d, since=S.since_day("400", AS_OF))
+    return metrics.analytics_daily(recent, A.lots(spark, d), "400", AS_OF)
+
+
+@query
+def latest_metric_with_occupancy(spark, d):
+    return metrics.latest_metric(_occupied(spark, d))
+
+
+@query
+def lots_overview_with_occupancy(spark, d):
+    return lots.lots_overview(A.lots(spark, d), A.spots(spark, d), _occupied(spark, d))
+
+
+@query
+def merge_metrics_with_occupancy(spark, d):
+    """Stored days have the samples up to 50, new ones the rest, which replace them on days with both."""
+    reservations, sessions, stations = A.reservations(spark, d), A.charging_sessions(spark, d), A.stations(spark, d)
+    samples, cutover = A.occupancy_samples(spark, d), S.as_timestamp(CUTOVER)
+    stored = metrics.daily_metrics(
+        reservations.filter(F.col("start_time") < cutover), sessions.filter(F.col("energy_kwh") < 25), stations,
+        samples.filter("sample <= 50"),
+    )
+    deltas = metrics.daily_metrics(
+        reservations.filter(F.col("start_time") >= cutover), sessions.filter(F.col("energy_kwh") >= 25), stations,
+        samples.filter("sample > 50"),
+    )
+    return metrics.merge_metrics(stored, deltas)
+
+
 # --- reads ------------------------------------------------------------------
 
 
@@ -412,6 +451,16 @@ def json_state_load(spark, d):
     return loaded.select("event_id", F.col("state").isNull().alias("is_null"), "state.k")
 
 
+@query
+def json_state_load_list(spark, d):
+    item = T.StructType([T.StructField("k", T.IntegerType())])
+    default = F.array(F.struct(F.lit(-1).alias("k")))
+    loaded = json_state.load_json(A.state_list_texts(spark, d), "text", T.ArrayType(item), default, "state")
+    return loaded.select(
+        "event_id", F.col("state").isNull().alias("is_null"), F.size("state").cast("bigint").alias("n"), F.col("state")[0]["k"].alias("k")
+    )
+
+
 @query
 def json_state_save(spark, d):
     held = A.slots(spark, d)

@@ -301,6 +301,22 @@ def state_texts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def state_list_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Event properties as stored lists; cut off, empty, ``null``, of wrong type, a lone object, or with more text after it."""
+    whole = F.concat(F.lit(" ["), F.col("props"), F.lit(","), F.col("props"), F.lit("]\n"))
+    return read_table(spark, d, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", F.concat(F.lit("["), F.col("props")))
+        .when(F.col("event_type") == "signup", "")
+        .when((F.col("event_type") == "view") & (F.col("value") < 50), "\nnull ")
+        .when(F.col("event_type") == "view", F.regexp_replace(whole, r"\d+", '"text"'))
+        .when(F.col("event_type") == "click", F.col("props"))
+        .when(F.col("event_id") % 3 == 0, F.concat(whole, F.lit("trailing")))
+        .otherwise(whole)
+        .alias("text"),
+    )
+
+
 def nested_lots(spark: SparkSession, d: str) -> DataFrame:
     """One nested create per supplier: a lot with one to four spots and one charger."""
     key = F.col("s_suppkey")

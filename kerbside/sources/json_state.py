@@ -18,19 +18,20 @@ def load_json(
     the schema also gives ``default``. The text is parsed once, in a step of its own.
     """
     raw = F.col(text)
-    is_null_text = F.trim(raw) == "null"
-    # Texts decided without parsing are kept from the parser.
-    to_parse = F.when((raw != "") & ~is_null_text, raw)
-    if isinstance(schema, T.ArrayType):
-        parsed = F.from_json(to_parse, schema)
-        broken = F.col("_parsed").isNull()
-        value = F.col("_parsed")
-    else:
-        wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-        parsed = F.from_json(to_parse, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        broken = F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull()
-        value = F.struct(*[F.col(f"_parsed.{f.name}").alias(f.name) for f in schema.fields])
-    result = F.when(is_null_text, F.lit(None)).when(broken, default).otherwise(value)
+    bare = F.regexp_replace(raw, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    is_null_text = bare == "null"
+    # Texts decided without parsing are kept from the parser. The value is wrapped in an
+    # object, so that one rule serves objects and arrays: a wrong type or a cut-off text
+    # makes the whole record corrupt. An array must open and close as one, since the
+    # parser would take a lone object for an array of one.
+    shape = r"(?s)^\[.*\]$" if isinstance(schema, T.ArrayType) else r"(?s)^\{.*\}$"
+    to_parse = F.when((bare != "") & ~is_null_text & bare.rlike(shape), F.concat(F.lit('{"v":'), bare, F.lit("}")))
+    wide = T.StructType([T.StructField("v", schema), T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(to_parse, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # A text that goes on after its value would give the wrapping object more keys.
+    alone = F.coalesce(F.size(F.json_object_keys(to_parse)) == 1, F.lit(False))
+    broken = ~alone | F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull() | F.col("_parsed.v").isNull()
+    result = F.when(is_null_text, F.lit(None)).when(broken, default).otherwise(F.col("_parsed.v"))
     return df.withColumn("_parsed", parsed).withColumn(name, result).drop("_parsed")
 
 
