@@ -112,6 +112,23 @@ def test_batches_run_again(spark, source, spots, seed, tmp_path):
     assert sum(r.reservations_count for r in held.collect()) == len(taken)
 
 
+def test_batches_without_results_count(spark, spots, seed, tmp_path):
+    """A first batch in which all is turned away, and an empty one, are published and not run again."""
+    out = str(tmp_path / "out")
+    schema = I.schemas.REQUESTS["stream_requests"]
+    names = [f.split()[0] for f in schema.split(",")]
+    row = {"kind": "reservation", "seq": 1, "lot_id": "nowhere", "spot_id": "none", "vehicle_plate": "P", "start_time": "2024-01-01"}
+    bad = spark.createDataFrame([tuple(row.get(n) for n in names)], schema)
+    bad = bad.withColumn("received_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    I.process_batch(bad, 0, out, spots, seed["stations"])
+    assert I.last_batch(spark, out) == 0 and I.current_metrics(spark, out).count() == 0
+    assert [r.status for r in I.published(spark, out, "rejected").collect()] == [400]
+    I.process_batch(bad.limit(0), 1, out, spots, seed["stations"])
+    assert I.last_batch(spark, out) == 1 and I.published(spark, out, "rejected").count() == 1
+    I.process_batch(bad, 0, out, spots, seed["stations"])
+    assert I.published(spark, out, "rejected").count() == 1
+
+
 def test_taken_spots_over_snapshots(spark, source, spots, seed, tmp_path, monkeypatch):
     monkeypatch.setattr(I, "SNAPSHOT_EVERY", 2)
     out = str(tmp_path / "out")
