@@ -5,12 +5,16 @@ each, in any fixed order of shingles (the prefix filter). Rare shingles are put
 so few documents meet. Work goes on in three steps: every document is held against one
 pivot of each shingle's group, which joins large groups of near copies without pairs
 among them; then groups that still hold more than one component are compared in tiles
-of one size band, where bitmaps refuse most pairs; what is left is intersected exactly.
+of one size band, where places and bitmaps refuse most pairs; what is left is
+intersected exactly. A pair need only be told at the first shingle that both sets hold.
+Each row knows the few shingles before its own, so a pair that shares one of those is
+not told again, however many shingles it shares.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ BITS = 1024
 FREQUENT, RANKED = 3, 1 << 20
 #: Rows of a tile.
 TILE = 512
+#: How many shingles before its own a row of a tile knows.
+BEFORE = 4
 #: Bits for each element in the signatures that pairs are held against before their texts are.
 FINE = 4
 #: Groups up to this size are compared together, larger ones each by tiles.
@@ -114,6 +120,11 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def preceding(keys: np.ndarray) -> np.ndarray:
+    """For each of a set's sorted keys the ``BEFORE`` keys before it; 0 where there is none."""
+    return np.lib.stride_tricks.sliding_window_view(np.append(np.zeros(BEFORE, np.uint64), keys), BEFORE)[:-1]
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(ID).cast("bigint").alias(ID), F.col(TEXT).alias("_text"))
 
@@ -168,24 +179,31 @@ def _order(described: DataFrame) -> Order:
 
 
 def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
-    """``token``, ``sid``: the first shingles of each set; a task sends a set once."""
+    """``token``, ``sid``, ``place``, ``before``: the first shingles of each set; a task sends a set once.
+
+    ``place`` counts the set's shingles before the token, ``before`` holds the last ``BEFORE`` of them.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for part in slices(batches, "_text"):
-            found, owners = [], []
+            found, owners, places, before = [], [], [], []
             for s in shingle_sets(*text_bytes(part, "_text"), WIDTH):
                 if not len(s) or (sid := set_id(s)) in sent:
                     continue
                 sent.add(sid)
                 keys = order.keys(s)
                 size = prefix_size(len(s))
-                found.append(np.partition(keys, size - 1)[:size] if size < len(s) else keys)
-                owners.append(np.full(len(found[-1]), sid, np.int64))
+                found.append(np.sort(np.partition(keys, size - 1)[:size] if size < len(s) else keys))
+                owners.append(np.full(size, sid, np.int64))
+                places.append(np.arange(size, dtype=np.int32))
+                before.append(preceding(found[-1]))
             if found:
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "sid"])
+                last = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BEFORE), sum(map(len, found)), [None, pa.py_buffer(np.concatenate(before))])
+                columns = [pa.array(np.concatenate(c)) for c in (found, owners, places)]
+                yield pa.record_batch([columns[0].view(pa.int64()), *columns[1:], last.cast(pa.binary())], ["token", "sid", "place", "before"])
 
-    return rows.mapInArrow(tokens, "token bigint, sid bigint")
+    return rows.mapInArrow(tokens, "token bigint, sid bigint, place int, before binary")
 
 
 def _needed(wanted: DataFrame) -> tuple[np.ndarray, int]:
@@ -291,12 +309,26 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, np.uint64).reshape(len(column), -1)
 
 
-def tile_pairs(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of one group's rows, sorted by size, of different components and not refused. By tiles.
+class Rows(NamedTuple):
+    """Rows of tiles: component, size of the set, place of the token in it, keys before the token, signature."""
+
+    comp: np.ndarray
+    n: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    sig: np.ndarray
+
+    def at(self, which: slice) -> Rows:
+        return Rows(*(c[which] for c in self))
+
+
+def tile_pairs(rows: Rows, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pairs of one group's rows, sorted by size, of different components and not refused. By tiles.
 
     The first ``old`` rows have met each other before.
     """
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    comp, n = rows.comp, rows.n
     for i in range(0, len(n), TILE):
         x = np.arange(i, min(i + TILE, len(n)))
         stop = int(np.searchsorted(n, 100 * n[x[-1]] // PERCENT, side="right"))
@@ -305,23 +337,36 @@ def tile_pairs(comp: np.ndarray, n: np.ndarray, sig: np.ndarray, old: int = 0) -
             near = (PERCENT * n[y][None, :] <= 100 * n[x][:, None]) & (comp[x][:, None] != comp[y][None, :])
             near &= (x[:, None] < y[None, :]) & (y[None, :] >= old)
             p, q = np.nonzero(near)
-            u, v = _unrefused(x[p], y[q], n, sig)
+            u, v = _unrefused(x[p], y[q], rows)
             out_a.append(u)
             out_b.append(v)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _unrefused(u: np.ndarray, v: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kept = [np.zeros(0, bool)]
+def _unrefused(u: np.ndarray, v: np.ndarray, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may be linked and whose token may be the first that both sets hold.
+
+    At that token all of the overlap is still to come, so neither place may be too far on.
+    A key that stands before the token in both sets shows that the pair is told elsewhere.
+    """
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(0, len(u), 1 << 15):
         x, y = u[k : k + (1 << 15)], v[k : k + (1 << 15)]
-        kept.append(enough(most_common(sig[x], sig[y], n[x], n[y]), n[x], n[y]))
-    keep = np.concatenate(kept)
-    return u[keep], v[keep]
+        ok = enough(np.minimum(rows.n[x] - rows.place[x], rows.n[y] - rows.place[y]), rows.n[x], rows.n[y])
+        x, y = x[ok], y[ok]
+        told = np.zeros(len(x), bool)
+        for i in range(BEFORE):
+            key = rows.before[x, i]
+            told |= (key != 0) & (key[:, None] == rows.before[y]).any(axis=1)
+        x, y = x[~told], y[~told]
+        ok = enough(most_common(rows.sig[x], rows.sig[y], rows.n[x], rows.n[y]), rows.n[x], rows.n[y])
+        out_a.append(x[ok])
+        out_b.append(y[ok])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def group_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within all groups of equal tokens, rows sorted by token and size.
+def group_pairs(token: np.ndarray, rows: Rows, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pairs within all groups of equal tokens, rows sorted by token and size.
 
     Small groups go together, row by row with the next, the one after it, and so on;
     large groups go by tiles. The first ``old`` rows, all of one token, have met before.
@@ -331,7 +376,7 @@ def group_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndar
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         part = slice(start, start + size)
-        u, v = tile_pairs(comp[part], n[part], sig[part], max(0, min(size, old - start)))
+        u, v = tile_pairs(rows.at(part), max(0, min(size, old - start)))
         out_a.append(u + start)
         out_b.append(v + start)
     ends = np.repeat(np.where(sizes > SMALL, 0, starts + sizes), sizes)
@@ -339,8 +384,8 @@ def group_pairs(token: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndar
     k = 1
     while len(row):
         other = row + k
-        ok = (comp[row] != comp[other]) & (PERCENT * n[other] <= 100 * n[row]) & (other >= old)
-        u, v = _unrefused(row[ok], other[ok], n, sig)
+        ok = (rows.comp[row] != rows.comp[other]) & (PERCENT * rows.n[other] <= 100 * rows.n[row]) & (other >= old)
+        u, v = _unrefused(row[ok], other[ok], rows)
         out_a.append(u)
         out_b.append(v)
         k += 1
@@ -392,7 +437,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     whole = Window.partitionBy("token")
     shared = cut(
         _prefixes(rows, _order(everything))
-        .select("token", "sid", F.min("sid").over(whole).alias("pivot"), F.max("sid").over(whole).alias("last"))
+        .select("*", F.min("sid").over(whole).alias("pivot"), F.max("sid").over(whole).alias("last"))
         .filter("pivot <> last")
     )
     # The smallest and the largest set of a group are its pivots. Links that this step leaves out fall to the tiles.
@@ -401,7 +446,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     roots = components(first)
     # Only groups that still hold more than one component go on.
     placed = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        "token", "sid", F.coalesce("root", "sid").alias("comp")
+        "token", "sid", "place", "before", F.coalesce("root", "sid").alias("comp")
     )
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     shared = cut(placed.join(mixed.select("token"), "token"))
@@ -412,29 +457,22 @@ def _classes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, sid, comp, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("token", "sid", "comp", "n"))
-            sig = _words(batch.column(batch.schema.get_field_index("signature")))
-            old = len(held[0]) if held and held[0][0] == token[0] else 0
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            read = [column[c].to_numpy() for c in ("token", "sid", "comp", "n", "place")] + [_words(column[c]) for c in ("before", "signature")]
+            old = len(held[0]) if held and held[0][0] == read[0][0] else 0
             if old:
-                token, sid, comp, n, sig = (np.concatenate(c) for c in zip(held, (token, sid, comp, n, sig), strict=True))
-            a, b = group_pairs(token, comp, n, sig, old)
+                read = [np.concatenate(c) for c in zip(held, read, strict=True)]
+            token, sid, rows = read[0], read[1], Rows(*read[2:])
+            a, b = group_pairs(token, rows, old)
             if len(a):
-                swap = sid[a] > sid[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield pa.record_batch([pa.array(sid[a]), pa.array(sid[b]), pa.array(n[a]), pa.array(n[b])], ["a", "b", "na", "nb"])
+                pair = np.unique(np.sort(np.stack([sid[a], sid[b]]), axis=0), axis=1)
+                yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
             # rows of the last token whose size band still reaches on
-            on = (token == token[-1]) & (100 * n >= PERCENT * n[-1])
-            held = tuple(c[on] for c in (token, sid, comp, n, sig))
-
-    met = tiles.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(tile, "a bigint, b bigint, na bigint, nb bigint")
-    times = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times"))
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb, n = (batch.column(c).to_numpy() for c in ("na", "nb", "times"))
-            yield batch.select(["a", "b"]).filter(pa.array(n >= least_shared(na, nb)))
+            on = (token == token[-1]) & (100 * rows.n >= PERCENT * rows.n[-1])
+            held = tuple(c[on] for c in read)
 
-    second = _verified(rows, sets, cut(times.mapInArrow(often, "a bigint, b bigint")))
+    met = tiles.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(tile, "a bigint, b bigint")
+    second = _verified(rows, sets, cut(met.distinct()))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = components(links)
     members = described.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -223,18 +223,44 @@ def test_tiles_find_all_linked_pairs_of_a_group(monkeypatch):
     n = np.array([len(s) for s in sets])
     sig = np.stack([np.frombuffer(jaccard.signature(s), np.uint64) for s in sets])
     ids, token = np.arange(60), np.zeros(60, np.int64)
+    none = np.zeros((60, jaccard.BEFORE), np.uint64)
+    rows = jaccard.Rows(ids, n, np.zeros(60, np.int32), none, sig)
     linked = {(i, j) for i, j in combinations(range(60), 2) if 100 * (c := jaccard.common(sets[i], sets[j])) >= 75 * (n[i] + n[j] - c)}
     assert linked
     for small in (5, 64):
         monkeypatch.setattr(jaccard, "SMALL", small)
-        a, b = jaccard.group_pairs(token, ids, n, sig)
+        a, b = jaccard.group_pairs(token, rows)
         found = set(zip(a.tolist(), b.tolist(), strict=True))
         assert linked <= found and len(found) == len(a)
-        assert len(jaccard.group_pairs(token, token, n, sig)[0]) == 0
-        later = jaccard.group_pairs(token, ids, n, sig, old=30)
+        assert len(jaccard.group_pairs(token, rows._replace(comp=token))[0]) == 0
+        later = jaccard.group_pairs(token, rows, old=30)
         assert set(zip(*(x.tolist() for x in later), strict=True)) == {p for p in found if p[1] >= 30}
 
 
+def test_pairs_are_told_at_their_first_shared_token(monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 5)
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(1, 1 << 58, 400, dtype=np.uint64))
+    sets = []
+    for _ in range(40):
+        own = rng.integers(1, 1 << 58, rng.integers(0, 40), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([rng.choice(base, rng.integers(330, 390), replace=False), own])))
+    linked = {(i, j) for i, j in combinations(range(40), 2) if 100 * (c := jaccard.common(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - c)}
+    assert 50 < len(linked) < 39 * 20
+    entries = []
+    for i, s in enumerate(sets):
+        prefix = s[: jaccard.prefix_size(len(s))]
+        entries += [(int(t), len(s), i, place, *b) for place, (t, b) in enumerate(zip(prefix, jaccard.preceding(prefix), strict=True))]
+    entries.sort(key=lambda r: r[:3])
+    sid, n = np.array([r[2] for r in entries]), np.array([r[1] for r in entries])
+    sig = np.stack([np.frombuffer(jaccard.signature(sets[i]), np.uint64) for i in sid])
+    rows = jaccard.Rows(sid, n, np.array([r[3] for r in entries]), np.array([r[4:] for r in entries], np.uint64), sig)
+    a, b = jaccard.group_pairs(np.array([r[0] for r in entries]), rows)
+    told = Counter(tuple(sorted((int(sid[i]), int(sid[j])))) for i, j in zip(a, b, strict=True))
+    assert linked <= set(told)
+    assert sum(told.values()) < 3 * len(told)
+
+
 def test_linked_sets_share_enough_of_their_prefixes():
     rng = np.random.default_rng(8)
     for _ in range(300):
