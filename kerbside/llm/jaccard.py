@@ -7,8 +7,8 @@ pivot of each shingle's group, which joins large groups of near copies without p
 among them; then groups that still hold more than one component are compared in tiles
 of one size band, where places and bitmaps refuse most pairs; what is left is
 intersected exactly. A pair need only be told at the first shingle that both sets hold.
-Each row knows the few shingles before its own, so a pair that shares one of those is
-not told again, however many shingles it shares.
+Each row knows the few shared shingles before its own, so a pair that holds one of
+those is not told again, however many shingles it shares.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BITS = 1024
 FREQUENT, RANKED = 3, 1 << 20
 #: Rows of a tile.
 TILE = 512
-#: How many shingles before its own a row of a tile knows.
+#: How many of its set's shared shingles before its own a row of a tile knows.
 BEFORE = 4
 #: Bits for each element in the signatures that pairs are held against before their texts are.
 FINE = 4
@@ -120,11 +120,6 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def preceding(keys: np.ndarray) -> np.ndarray:
-    """For each of a set's sorted keys the ``BEFORE`` keys before it; 0 where there is none."""
-    return np.lib.stride_tricks.sliding_window_view(np.append(np.zeros(BEFORE, np.uint64), keys), BEFORE)[:-1]
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(ID).cast("bigint").alias(ID), F.col(TEXT).alias("_text"))
 
@@ -179,15 +174,12 @@ def _order(described: DataFrame) -> Order:
 
 
 def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
-    """``token``, ``sid``, ``place``, ``before``: the first shingles of each set; a task sends a set once.
-
-    ``place`` counts the set's shingles before the token, ``before`` holds the last ``BEFORE`` of them.
-    """
+    """``token``, ``sid``, ``place``: the first shingles of each set and how many stand before; a task sends a set once."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for part in slices(batches, "_text"):
-            found, owners, places, before = [], [], [], []
+            found, owners, places = [], [], []
             for s in shingle_sets(*text_bytes(part, "_text"), WIDTH):
                 if not len(s) or (sid := set_id(s)) in sent:
                     continue
@@ -197,13 +189,11 @@ def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
                 found.append(np.sort(np.partition(keys, size - 1)[:size] if size < len(s) else keys))
                 owners.append(np.full(size, sid, np.int64))
                 places.append(np.arange(size, dtype=np.int32))
-                before.append(preceding(found[-1]))
             if found:
-                last = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BEFORE), sum(map(len, found)), [None, pa.py_buffer(np.concatenate(before))])
-                columns = [pa.array(np.concatenate(c)) for c in (found, owners, places)]
-                yield pa.record_batch([columns[0].view(pa.int64()), *columns[1:], last.cast(pa.binary())], ["token", "sid", "place", "before"])
+                columns = [np.concatenate(found).view(np.int64), np.concatenate(owners), np.concatenate(places)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["token", "sid", "place"])
 
-    return rows.mapInArrow(tokens, "token bigint, sid bigint, place int, before binary")
+    return rows.mapInArrow(tokens, "token bigint, sid bigint, place int")
 
 
 def _needed(wanted: DataFrame) -> tuple[np.ndarray, int]:
@@ -310,7 +300,7 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 class Rows(NamedTuple):
-    """Rows of tiles: component, size of the set, place of the token in it, keys before the token, signature."""
+    """Rows of tiles: component, size of the set, place of the token in it, tokens before this one, signature."""
 
     comp: np.ndarray
     n: np.ndarray
@@ -347,7 +337,7 @@ def _unrefused(u: np.ndarray, v: np.ndarray, rows: Rows) -> tuple[np.ndarray, np
     """The pairs that may be linked and whose token may be the first that both sets hold.
 
     At that token all of the overlap is still to come, so neither place may be too far on.
-    A key that stands before the token in both sets shows that the pair is told elsewhere.
+    A token that stands before it in both sets shows that the pair is told elsewhere.
     """
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(0, len(u), 1 << 15):
@@ -433,12 +423,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     first_row = F.min(F.struct("rid", "n")).alias("first")
     sets = described.filter("sid is not null").groupBy("sid").agg(first_row).select("sid", "first.rid", "first.n")
     sets = cut(sets.join(described.select("rid", "signature"), "rid"))
-    # Shingles that different sets share, each with the smallest and the largest of these sets.
+    # Shingles that different sets share, each with the smallest and the largest of these sets. Rows that
+    # several tasks sent fall together where the window has put them.
     whole = Window.partitionBy("token")
     shared = cut(
         _prefixes(rows, _order(everything))
         .select("*", F.min("sid").over(whole).alias("pivot"), F.max("sid").over(whole).alias("last"))
         .filter("pivot <> last")
+        .distinct()
     )
     # The smallest and the largest set of a group are its pivots. Links that this step leaves out fall to the tiles.
     stars = _ranked(shared.select(F.col("sid").alias("a"), F.explode(F.array("pivot", "last")).alias("b")).filter("a <> b"))
@@ -446,11 +438,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     roots = components(first)
     # Only groups that still hold more than one component go on.
     placed = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        "token", "sid", "place", "before", F.coalesce("root", "sid").alias("comp")
+        "token", "sid", "place", F.coalesce("root", "sid").alias("comp")
     )
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     shared = cut(placed.join(mixed.select("token"), "token"))
-    tiles = shared.distinct().join(sets.drop("rid"), "sid")
+    # One dealing by set serves both the tokens before each row and the join.
+    own = Window.partitionBy("sid").orderBy("place")
+    before = [f"before{k}" for k in range(BEFORE)]
+    tiles = shared.select("*", *(F.lag("token", k + 1, 0).over(own).alias(c) for k, c in enumerate(before))).join(sets.drop("rid"), "sid")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -458,7 +453,8 @@ def _classes(docs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            read = [column[c].to_numpy() for c in ("token", "sid", "comp", "n", "place")] + [_words(column[c]) for c in ("before", "signature")]
+            read = [column[c].to_numpy() for c in ("token", "sid", "comp", "n", "place")]
+            read += [np.stack([column[c].to_numpy() for c in before], axis=1), _words(column["signature"])]
             old = len(held[0]) if held and held[0][0] == read[0][0] else 0
             if old:
                 read = [np.concatenate(c) for c in zip(held, read, strict=True)]

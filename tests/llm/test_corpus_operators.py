@@ -223,7 +223,7 @@ def test_tiles_find_all_linked_pairs_of_a_group(monkeypatch):
     n = np.array([len(s) for s in sets])
     sig = np.stack([np.frombuffer(jaccard.signature(s), np.uint64) for s in sets])
     ids, token = np.arange(60), np.zeros(60, np.int64)
-    none = np.zeros((60, jaccard.BEFORE), np.uint64)
+    none = np.zeros((60, jaccard.BEFORE), np.int64)
     rows = jaccard.Rows(ids, n, np.zeros(60, np.int32), none, sig)
     linked = {(i, j) for i, j in combinations(range(60), 2) if 100 * (c := jaccard.common(sets[i], sets[j])) >= 75 * (n[i] + n[j] - c)}
     assert linked
@@ -249,12 +249,14 @@ def test_pairs_are_told_at_their_first_shared_token(monkeypatch):
     assert 50 < len(linked) < 39 * 20
     entries = []
     for i, s in enumerate(sets):
-        prefix = s[: jaccard.prefix_size(len(s))]
-        entries += [(int(t), len(s), i, place, *b) for place, (t, b) in enumerate(zip(prefix, jaccard.preceding(prefix), strict=True))]
+        prefix = [0] * jaccard.BEFORE + s[: jaccard.prefix_size(len(s))].tolist()
+        for place in range(len(prefix) - jaccard.BEFORE):
+            *before, token = prefix[place : place + jaccard.BEFORE + 1]
+            entries.append((token, len(s), i, place, *before))
     entries.sort(key=lambda r: r[:3])
     sid, n = np.array([r[2] for r in entries]), np.array([r[1] for r in entries])
     sig = np.stack([np.frombuffer(jaccard.signature(sets[i]), np.uint64) for i in sid])
-    rows = jaccard.Rows(sid, n, np.array([r[3] for r in entries]), np.array([r[4:] for r in entries], np.uint64), sig)
+    rows = jaccard.Rows(sid, n, np.array([r[3] for r in entries]), np.array([r[4:] for r in entries], np.int64), sig)
     a, b = jaccard.group_pairs(np.array([r[0] for r in entries]), rows)
     told = Counter(tuple(sorted((int(sid[i]), int(sid[j])))) for i, j in zip(a, b, strict=True))
     assert linked <= set(told)
