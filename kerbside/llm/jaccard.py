@@ -6,7 +6,8 @@ so few documents meet. Work goes on in three steps: every document is held again
 pivot of each shingle's group, which joins large groups of near copies without pairs
 among them; then groups that still hold more than one component are compared in tiles
 of one size band, where places and bitmaps refuse most pairs; what is left is
-intersected exactly. A pair need only be told at the first shingle that both sets hold.
+intersected exactly. A group of more than ``BLOCK`` rows is dealt in blocks, and a task
+holds one pair of blocks; rows of one large component never meet each other. A pair need only be told at the first shingle that both sets hold.
 Each row knows the few shared shingles before its own, so a pair that holds one of
 those is not told again, however many shingles it shares.
 """
@@ -38,6 +39,8 @@ TILE = 512
 BEFORE = 4
 #: Bits for each element in the signatures that pairs are held against before their texts are.
 FINE = 4
+#: Rows of a group that one task compares; larger groups are dealt in blocks of about so many.
+BLOCK = 8192
 #: Groups up to this size are compared together, larger ones each by tiles.
 SMALL = 64
 #: Most bits of the filter that keeps texts out of the shuffle that no pair needs. A fuller filter only keeps out fewer.
@@ -173,11 +176,17 @@ def _order(described: DataFrame) -> Order:
     return Order(found.column("hash").combine_chunks().to_numpy().view(np.uint64), found.column("n").combine_chunks().to_numpy())
 
 
-def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
-    """``token``, ``sid``, ``place``: the first shingles of each set and how many stand before; a task sends a set once."""
+def _prefixes(rows: DataFrame, order: Order, needed: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """``token``, ``sid``, ``place``: the first shingles of each set and how many stand before; a task sends a set once.
+
+    With a filter of tokens, most others are left out.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
+        marked, shift = None, np.uint64(0)
+        if needed:
+            marked, shift = np.unpackbits(needed[0]).astype(bool), np.uint64(64 - needed[1].bit_length() + 1)
         for part in slices(batches, "_text"):
             found, owners, places = [], [], []
             for s in shingle_sets(*text_bytes(part, "_text"), WIDTH):
@@ -191,13 +200,16 @@ def _prefixes(rows: DataFrame, order: Order) -> DataFrame:
                 places.append(np.arange(size, dtype=np.int32))
             if found:
                 columns = [np.concatenate(found).view(np.int64), np.concatenate(owners), np.concatenate(places)]
+                if marked is not None:
+                    keep = marked[mix(columns[0].view(np.uint64)) >> shift]
+                    columns = [c[keep] for c in columns]
                 yield pa.record_batch([pa.array(c) for c in columns], ["token", "sid", "place"])
 
     return rows.mapInArrow(tokens, "token bigint, sid bigint, place int")
 
 
-def _needed(wanted: DataFrame) -> tuple[np.ndarray, int]:
-    """A bounded Bloom filter, one hash, of the rids of ``wanted``."""
+def _needed(wanted: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bounded Bloom filter, one hash, of the numbers in a column of ``wanted``."""
     n = wanted.count()
     bits = min(FILTER_BITS, 1 << int(np.ceil(np.log2(max(1024, 16 * n)))))
     slice_bits = min(bits, 1 << 18)
@@ -216,7 +228,7 @@ def _needed(wanted: DataFrame) -> tuple[np.ndarray, int]:
         return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
 
     shape = "slice int, bits binary"
-    found = wanted.select("rid").mapInArrow(mark, shape).groupBy("slice").applyInArrow(merge, shape).collect()
+    found = wanted.select(column).mapInArrow(mark, shape).groupBy("slice").applyInArrow(merge, shape).collect()
     out = np.zeros(bits, bool)
     for r in found:
         out[r["slice"] * slice_bits : (r["slice"] + 1) * slice_bits] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
@@ -229,7 +241,7 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     The text of one row stands for each set; which row makes no difference.
     """
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "rid"), "sid"))
-    packed, bits = _needed(wanted)
+    packed, bits = _needed(wanted, "rid")
     shift = np.uint64(64 - bits.bit_length() + 1)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +334,7 @@ def tile_pairs(rows: Rows, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(n), TILE):
         x = np.arange(i, min(i + TILE, len(n)))
         stop = int(np.searchsorted(n, 100 * n[x[-1]] // PERCENT, side="right"))
-        for j in range(i, stop, TILE):
+        for j in range(i + max(0, old - i) // TILE * TILE, stop, TILE):
             y = np.arange(j, min(j + TILE, len(n)))
             near = (PERCENT * n[y][None, :] <= 100 * n[x][:, None]) & (comp[x][:, None] != comp[y][None, :])
             near &= (x[:, None] < y[None, :]) & (y[None, :] >= old)
@@ -333,6 +345,25 @@ def tile_pairs(rows: Rows, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def cross_pairs(rows: Rows, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``tile_pairs``, of rows sorted by size, but only pairs of a row on the left and one on the right."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    n = rows.n[right]
+    for i in range(0, len(left), TILE):
+        x = left[i : i + TILE]
+        low, high = rows.n[x[0]], rows.n[x[-1]]
+        start = int(np.searchsorted(n, -(-PERCENT * low // 100)))
+        stop = int(np.searchsorted(n, 100 * high // PERCENT, side="right"))
+        for j in range(start, stop, TILE):
+            y = right[j : min(j + TILE, stop)]
+            p, q = np.nonzero(rows.comp[x][:, None] != rows.comp[y][None, :])
+            u, v = _unrefused(x[p], y[q], rows)
+            out_a.append(u)
+            out_b.append(v)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def _unrefused(u: np.ndarray, v: np.ndarray, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that may be linked and whose token may be the first that both sets hold.
 
@@ -415,6 +446,90 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def _dealt(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of large groups, each once for each pair of blocks that it belongs to.
+
+    A size band reaches from one power of 4/3 to the next, so linked sets are of one band or
+    of neighbours. Rows of a band form cells: one for each component of ``BLOCK`` rows or
+    more, one for all others. A cell is dealt by hash in blocks of about ``BLOCK`` rows. A
+    block meets the blocks of its own and of other cells, but none of its own large
+    component. ``pair`` tells pairs of blocks apart; ``side`` is 0 where a block meets
+    itself, else 1 or 2. ``sizes`` has the rows' ``token``, ``comp`` and ``n`` alone.
+    """
+    # rounding at a band's edge may shift a set by one band, so bands up to two apart meet
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int").alias("band")
+    counts = sizes.select("token", "comp", band).groupBy("token", "band", "comp").agg(F.count("*").alias("rows"))
+    counts = counts.withColumn("own", F.when(F.col("rows") >= BLOCK, F.col("comp")))
+    counts = cut(counts.withColumn("cell", F.xxhash64("band", "own", F.col("own").isNull())))
+    cells = cut(counts.groupBy("token", "cell", "band", "own").agg(F.ceil(F.sum("rows") / BLOCK).cast("int").alias("blocks")))
+    theirs = cells.select("token", *(F.col(c).alias(f"other_{c}") for c in ("cell", "band", "own", "blocks")))
+    meet = (F.abs(F.col("band") - F.col("other_band")) <= 2) & ~F.coalesce(F.col("own") == F.col("other_own"), F.lit(False))
+    meet = cells.join(theirs, "token").filter(meet).select("token", "cell", "blocks", "other_cell", "other_blocks")
+    rows = tiles.select("*", band).join(counts.select("token", "band", "comp", "cell"), ["token", "band", "comp"])
+    rows = rows.join(meet, ["token", "cell"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    here, there = F.struct("cell", "block"), F.struct(F.col("other_cell").alias("cell"), F.col("other").alias("block"))
+    alone, first = here == there, here < there
+    pair = F.xxhash64(F.least(here, there), F.greatest(here, there))
+    return rows.select(*tiles.columns, pair.alias("pair"), F.when(alone, 0).when(first, 1).otherwise(2).alias("side"))
+
+
+def _met(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets of different components that meet in a group and are not refused."""
+    # One dealing by set serves both the tokens before each row and the join.
+    own = Window.partitionBy("sid").orderBy("place")
+    before = [f"before{k}" for k in range(BEFORE)]
+    tiles = shared.select("*", *(F.lag("token", k + 1, 0).over(own).alias(c) for k, c in enumerate(before))).join(sets.drop("rid"), "sid")
+    plain = tiles.select("*", F.lit(0).cast("bigint").alias("pair"), F.lit(0).alias("side"))
+    large = F.col("size") > BLOCK
+    if not shared.filter(large).isEmpty():
+        sizes = shared.filter(large).select("token", "sid", "comp").join(sets.select("sid", "n"), "sid")
+        plain = plain.filter(~large).unionByName(_dealt(tiles.filter(large), sizes))
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A group, or a pair of blocks, goes on when all of it has been read.
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            token, mate, side, sid, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+            rows = Rows(*rest)
+            group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (mate[1:] != mate[:-1])))
+            edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
+            apart = np.bincount(group, side > 0) > 0
+            found = []
+            inner = np.flatnonzero(~apart[group])
+            if len(inner):
+                a, b = group_pairs(group[inner], Rows(*(c[inner] for c in rows)))
+                found.append((inner[a], inner[b]))
+            for g in np.flatnonzero(apart).tolist():
+                part = slice(edges[g], edges[g + 1])
+                a, b = cross_pairs(rows.at(part), side[part] == 2)
+                found.append((a + edges[g], b + edges[g]))
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(a):
+                pair = np.unique(np.sort(np.stack([sid[a], sid[b]]), axis=0), axis=1)
+                yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            read = [column[c].to_numpy() for c in ("token", "pair", "side", "sid", "comp", "n", "place")]
+            read += [np.stack([column[c].to_numpy() for c in before], axis=1), _words(column["signature"])]
+            same = (read[0] == read[0][-1]) & (read[1] == read[1][-1])
+            at = int(np.argmax(same))
+            if at or (held and (held[-1][0][-1], held[-1][1][-1]) != (read[0][0], read[1][0])):
+                held.append(tuple(c[:at] for c in read))
+                yield from pairs()
+                held = []
+            held.append(tuple(c[at:] for c in read))
+        if held:
+            yield from pairs()
+
+    return plain.repartition("token", "pair").sortWithinPartitions("token", "pair", "n", "sid").mapInArrow(tile, "a bigint, b bigint")
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """``rid``, id, ``n_shingles``, ``root`` (null for an empty set), ``component_id``."""
     rows = _numbered(docs)
@@ -423,15 +538,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     first_row = F.min(F.struct("rid", "n")).alias("first")
     sets = described.filter("sid is not null").groupBy("sid").agg(first_row).select("sid", "first.rid", "first.n")
     sets = cut(sets.join(described.select("rid", "signature"), "rid"))
-    # Shingles that different sets share, each with the smallest and the largest of these sets. Rows that
-    # several tasks sent fall together where the window has put them.
-    whole = Window.partitionBy("token")
-    shared = cut(
-        _prefixes(rows, _order(everything))
-        .select("*", F.min("sid").over(whole).alias("pivot"), F.max("sid").over(whole).alias("last"))
-        .filter("pivot <> last")
-        .distinct()
-    )
+    # Shingles that different sets share, each with the smallest and the largest of these sets. They are
+    # found by map-side aggregates and joined back, so that no task has to hold a group.
+    order = _order(everything)
+    ends = _prefixes(rows, order).groupBy("token").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last"))
+    ends = cut(ends.filter("pivot <> last"))
+    shared = cut(_prefixes(rows, order, _needed(ends, "token")).distinct().join(ends, "token"))
     # The smallest and the largest set of a group are its pivots. Links that this step leaves out fall to the tiles.
     stars = _ranked(shared.select(F.col("sid").alias("a"), F.explode(F.array("pivot", "last")).alias("b")).filter("a <> b"))
     first = cut(_verified(rows, sets, cut(_bounded(stars, sets))))
@@ -440,35 +552,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     placed = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
         "token", "sid", "place", F.coalesce("root", "sid").alias("comp")
     )
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    shared = cut(placed.join(mixed.select("token"), "token"))
-    # One dealing by set serves both the tokens before each row and the join.
-    own = Window.partitionBy("sid").orderBy("place")
-    before = [f"before{k}" for k in range(BEFORE)]
-    tiles = shared.select("*", *(F.lag("token", k + 1, 0).over(own).alias(c) for k, c in enumerate(before))).join(sets.drop("rid"), "sid")
-
-    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            read = [column[c].to_numpy() for c in ("token", "sid", "comp", "n", "place")]
-            read += [np.stack([column[c].to_numpy() for c in before], axis=1), _words(column["signature"])]
-            old = len(held[0]) if held and held[0][0] == read[0][0] else 0
-            if old:
-                read = [np.concatenate(c) for c in zip(held, read, strict=True)]
-            token, sid, rows = read[0], read[1], Rows(*read[2:])
-            a, b = group_pairs(token, rows, old)
-            if len(a):
-                pair = np.unique(np.sort(np.stack([sid[a], sid[b]]), axis=0), axis=1)
-                yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-            # rows of the last token whose size band still reaches on
-            on = (token == token[-1]) & (100 * rows.n >= PERCENT * rows.n[-1])
-            held = tuple(c[on] for c in read)
-
-    met = tiles.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(tile, "a bigint, b bigint")
-    second = _verified(rows, sets, cut(met.distinct()))
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    shared = cut(placed.join(mixed.filter("low <> high").select("token", "size"), "token"))
+    second = _verified(rows, sets, cut(_met(shared, sets).distinct()))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = components(links)
     members = described.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

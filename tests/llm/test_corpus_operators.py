@@ -190,6 +190,33 @@ def test_classes_match_brute_force(table_of, seed):
     assert got == classes_by_hand(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_classes_of_groups_dealt_in_blocks(table_of, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rows = near_copies(seed)
+    got = Counter(tuple(r) for r in jaccard.similarity_classes(table_of(rows)).collect())
+    assert got == classes_by_hand(rows)
+
+
+def test_no_task_holds_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(5)
+    # one shingle in 300 near copies of one component, 40 more documents, and some of another size
+    rows = [(7, i, 1000 if i < 300 else i, rng.choice([100, 101, 140]) if i < 340 else 900) for i in range(360)]
+    tiles = spark.createDataFrame(rows, "token bigint, sid bigint, comp bigint, n bigint")
+    groups = {}
+    for r in jaccard._dealt(tiles, tiles).collect():
+        groups.setdefault((r["token"], r["pair"]), []).append((r["side"], r["sid"]))
+    assert max(map(len, groups.values())) <= 5 * jaccard.BLOCK
+    met = Counter()
+    for members in groups.values():
+        met.update(tuple(sorted((a, b))) for (s, a), (t, b) in combinations(members, 2) if s == t == 0 or s != t)
+    comp, size = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    near = {(a, b) for a, b in combinations(range(360), 2) if comp[a] != comp[b] and 4 * min(size[a], size[b]) >= 3 * max(size[a], size[b])}
+    assert {p for p in met if comp[p[0]] != comp[p[1]]} >= near and set(met.values()) == {1}
+    assert not any(comp[a] == comp[b] == 1000 for a, b in met)
+
+
 def test_classes_edges(edge, empty, edge_rows):
     got = Counter(tuple(r) for r in jaccard.similarity_classes(edge).collect())
     assert got == classes_by_hand(edge_rows)
