@@ -26,7 +26,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What may stand between a cue and its value.
 LINK = re.compile(r"""(?:\s|number|no\.|nr\.|id|is|[:=#"'])*""", re.IGNORECASE)
 ACCOUNT = re.compile(r"[A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33}(?![A-Za-z0-9])")
-SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{16,256}")
+SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}")
 ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 ADDRESS = re.compile(r"""[^\s/?#@"'<>]+@[^\s"'<>]+""")
 
@@ -69,11 +69,17 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
     """Spans by kind, in code points, end exclusive. Base kinds are the leftmost matches of their patterns."""
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     after = dict.fromkeys(KINDS, 0)
+    tried = 0  # end of the last secret value looked at; a value that starts inside it ends there too
 
     def cue_value(kind: str, at: int, pattern: re.Pattern) -> None:
+        nonlocal tried
         start = LINK.match(text, at).end()
+        if start == at or start < after[kind] or kind == "secret" and start < tried:
+            return
         m = pattern.match(text, start)
-        if m and start > at and start >= after[kind] and any(c.isdigit() for c in m[0]):
+        if m and kind == "secret":
+            tried = m.end()
+        if m and any(c.isdigit() for c in m[0]):
             found[kind].append(m.span())
             after[kind] = m.end()
 

@@ -303,6 +303,17 @@ def test_base_kinds_are_the_patterns_matches(text):
     assert {k: found[k] for k in pii.BASE} == base_spans(text)
 
 
+@pytest.mark.parametrize("size", [16, 256, 257, 800, 5000])
+def test_secrets_are_found_to_their_end(size):
+    value = ("eyJhbGciOiJIUzI1NiJ9." * (size // 20 + 1))[:size]
+    text = f"token: {value} and more"
+    found = pii.find(text, pii.anchors())
+    assert found["secret"] == [(7, 7 + size)]
+    assert pii.masked(text, found) == "token: [SECRET] and more"
+    no_digit = "token=" * 50_000  # each cue starts a value that runs to the end
+    assert pii.find(no_digit, pii.anchors())["secret"] == []
+
+
 def test_personal_data(spark, edge, empty, edge_rows, table_of):
     docs = documents(spark, DIRECTORY)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
