@@ -25,7 +25,12 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: What may stand between a cue and its value.
 LINK = re.compile(r"""(?:\s|number|no\.|nr\.|id|is|[:=#"'])*""", re.IGNORECASE)
-ACCOUNT = re.compile(r"[A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33}(?![A-Za-z0-9])")
+#: Groups that hold digits, joined by single blanks or hyphens; the first may start with a country or series.
+ACCOUNT = re.compile(
+    r"[A-Za-z]{0,4}[0-9][A-Za-z0-9]{0,33}(?![A-Za-z0-9])(?:[ -](?=[A-Za-z]{0,33}[0-9])[A-Za-z0-9]{1,34}(?![A-Za-z0-9]))*"
+)
+#: Least digits, and least letters and digits, of an account number that is no IBAN.
+ACCOUNT_DIGITS, ACCOUNT_SIZE = 3, 6
 SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}")
 ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 ADDRESS = re.compile(r"""[^\s/?#@"'<>]+@[^\s"'<>]+""")
@@ -34,6 +39,17 @@ ADDRESS = re.compile(r"""[^\s/?#@"'<>]+@[^\s"'<>]+""")
 ACCOUNT_CUES = ("account", "iban", "ssn", "passport", "konto", "compte", "cuenta")
 SECRET_CUES = ("token", "secret", "api_key", "apikey", "password")
 
+#: Letters and digits of each country's IBAN.
+IBAN_SIZES = {
+    m[:2]: int(m[2:])
+    for m in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+        "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 "
+        "ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 "
+        "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
 SCHEMA = (
     f"{ID} bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, "
     "found array<struct<kind: string, start: int, end: int>>"
@@ -65,23 +81,55 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _plain(text: str, at: int) -> bool:
+    return at < len(text) and text[at].isascii() and text[at].isalnum()
+
+
+def iban_end(text: str, start: int) -> int | None:
+    """End of the IBAN that starts here, by its country's length and its check digits; None if there is none."""
+    size = IBAN_SIZES.get(text[start : start + 2].upper(), 0)
+    chars, at = "", start
+    while len(chars) < size:
+        if chars and text[at : at + 1] in (" ", "-"):
+            at += 1
+        if not _plain(text, at):
+            return None
+        chars += text[at]
+        at += 1
+    if not size or _plain(text, at) or not chars[2:4].isdigit():
+        return None
+    return at if int("".join(str(int(c, 36)) for c in chars[4:] + chars[:4])) % 97 == 1 else None
+
+
+def account_end(text: str, start: int) -> int | None:
+    """End of the account number that starts here: an IBAN, or groups with enough digits."""
+    if end := iban_end(text, start):
+        return end
+    m = ACCOUNT.match(text, start)
+    enough = m and sum(c.isdigit() for c in m[0]) >= ACCOUNT_DIGITS and sum(c.isalnum() for c in m[0]) >= ACCOUNT_SIZE
+    return m.end() if enough else None
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in code points, end exclusive. Base kinds are the leftmost matches of their patterns."""
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     after = dict.fromkeys(KINDS, 0)
     tried = 0  # end of the last secret value looked at; a value that starts inside it ends there too
 
-    def cue_value(kind: str, at: int, pattern: re.Pattern) -> None:
+    def cue_value(kind: str, at: int) -> None:
         nonlocal tried
         start = LINK.match(text, at).end()
         if start == at or start < after[kind] or kind == "secret" and start < tried:
             return
-        m = pattern.match(text, start)
-        if m and kind == "secret":
-            tried = m.end()
-        if m and any(c.isdigit() for c in m[0]):
-            found[kind].append(m.span())
-            after[kind] = m.end()
+        if kind == "account":
+            end = account_end(text, start)
+        else:
+            m = SECRET.match(text, start)
+            tried = m.end() if m else tried
+            end = m.end() if m and any(c.isdigit() for c in m[0]) else None
+        if end:
+            found[kind].append((start, end))
+            after[kind] = end
 
     for end, (anchor, width) in automaton.iter(text):
         at = end - width + 1
@@ -127,7 +175,7 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
                 found["secret"].append(m.span())
                 after["secret"] = m.end()
         else:
-            cue_value(anchor, end + 1, ACCOUNT if anchor == "account" else SECRET)
+            cue_value(anchor, end + 1)
     return found
 
 

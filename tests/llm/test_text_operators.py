@@ -314,6 +314,36 @@ def test_secrets_are_found_to_their_end(size):
     assert pii.find(no_digit, pii.anchors())["secret"] == []
 
 
+@pytest.mark.parametrize(
+    ("before", "value", "after"),
+    [
+        ("account number ", "12345678", " was closed by the bank last week"),
+        ("account ", "1234-5678 9012", " and then 7 days"),
+        ("IBAN: ", "DE89 3704 0044 0532 0130 00", " was closed"),
+        ("IBAN: ", "DE89 3704 0044 0532 0130 00", " 25 euros"),
+        ("iban ", "GB29 NWBK 6016 1331 9268 19", " is mine"),
+        ("IBAN: ", "NL91ABNA0417164300", "."),
+        ("IBAN: ", "DE88 3704 0044 0532 0130 00", " has a wrong check number"),
+        ("ssn: ", "123-45-6789", " on file"),
+        ("passport ", "C01X00T47", " issued in May"),
+        ("account ", "", "2024 and the years after"),
+        ("account: ", "", "4th of the 12 months"),
+    ],
+)
+def test_account_numbers_end_where_their_digits_do(before, value, after):
+    want = [(len(before), len(before + value))] if value else []
+    found = pii.find(before + value + after, pii.anchors())["account"]
+    if after == " and then 7 days":
+        assert pii.masked(before + value + after, pii.find(before + value + after, pii.anchors())) == "account [ACCOUNT] and then 7 days"
+    assert found == want
+
+
+def test_iban_check():
+    assert pii.iban_end("DE89 3704 0044 0532 0130 00", 0) == 27
+    for wrong in ("DE88 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 0", "DE89 3704 0044 0532 0130 000", "ZZ89 3704 0044 0532 0130 00", ""):
+        assert pii.iban_end(wrong, 0) is None
+
+
 def test_personal_data(spark, edge, empty, edge_rows, table_of):
     docs = documents(spark, DIRECTORY)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
