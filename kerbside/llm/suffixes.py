@@ -8,6 +8,10 @@ whose first ``KEY`` bytes occur twice in the corpus. Chunks send sorted, front-c
 runs; a loser tree merges them and goes on from the common prefixes that runs and
 earlier matches know, so no known prefix is compared again. Neighbours in the result
 with enough bytes in common, before and after the place, are the repeats.
+
+Places whose key stands more than ``HOT`` times in the corpus are not sorted, as all
+their suffixes would meet in one task. There each string of ``LENGTH`` bytes is told by
+128 bits of hash, once per chunk, and dealt by that; a key's strings spread over all tasks.
 """
 
 from __future__ import annotations
@@ -33,9 +37,14 @@ CHUNK_BYTES = 8 << 20
 #: Anchors that the sort's ranges are taken from: of each chunk, and of the corpus.
 CHUNK_SAMPLE, SAMPLE = 64, 20_000
 SAMPLES = -1
+#: A key that stands oftener than this in the corpus is not sorted; its strings are counted by their hashes.
+HOT = 1 << 14
 
 SCHEMA = f"{ID} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 FULL_SCHEMA = f"{SCHEMA}, kept binary"
+#: A second table of values for bytes, and how many places are hashed at once.
+OTHER_VALUES = mix(VALUES ^ np.uint64(0xD6E8FEB86659FD93))
+STEP = 1 << 18
 
 
 # --- places chosen by content -------------------------------------------------
@@ -93,6 +102,51 @@ class Runs:
         self.anchor, self.hash = anchor[begin], hashes[begin]
 
 
+def _wide_hashes(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hash of the ``LENGTH`` bytes from each place, by a table of values for bytes."""
+    h = values[data]
+    width = 1
+    factor = values[0] | np.uint64(1)
+    with np.errstate(over="ignore"):
+        while 2 * width <= LENGTH:
+            h = h[:-width] * factor + h[width:] if len(h) > width else h[:0]
+            factor = mix(np.array([factor]))[0] | np.uint64(1)
+            width *= 2
+        # the two halves overlap and cover the string
+        rest = LENGTH - width
+        h = h[: len(h) - rest] * factor + h[rest:] if len(h) > rest else h[:0]
+    return mix(h)
+
+
+def string_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings that start from each ``first`` to its ``last``: the starts, and 128 bits of hash in two columns."""
+    sizes = last - first + 1
+    ends = np.cumsum(sizes)
+    starts = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.zeros((len(starts), 2), np.uint64)
+    for i in range(0, len(starts), STEP):
+        # texts near each other share a window of the data; starts are in order
+        at = starts[i : i + STEP]
+        low, high = int(at[0]), int(at[-1]) + LENGTH
+        for g in range(low, high, STEP):
+            a, b = np.searchsorted(at, [g, g + STEP])
+            if a < b:
+                window = data[g : g + STEP + LENGTH]
+                for k, values in enumerate((VALUES, OTHER_VALUES)):
+                    out[i + a : i + b, k] = _wide_hashes(window, values)[at[a:b] - g]
+    return starts, out
+
+
+def distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows in order, each row's number among them, and how often each stands."""
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    ordered = hashes[order]
+    new = np.append(True, (ordered[1:] != ordered[:-1]).any(axis=1))[: len(order)]
+    number = np.zeros(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number, np.bincount(number, minlength=int(new.sum()))
+
+
 # --- front-coded runs and the loser tree --------------------------------------
 
 
@@ -276,14 +330,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
 
 def _marked_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.decompress(data)
-    n = len(data) // 9
-    return np.cumsum(np.frombuffer(data, np.uint64, n)), np.frombuffer(data, np.uint8, n, 8 * n)
+    n = len(data) // 10
+    return np.cumsum(np.frombuffer(data, np.uint64, n)), np.frombuffer(data, np.uint16, n, 8 * n)
 
 
-def _distinct_suffixes(data: np.ndarray, runs: Runs, asked: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
-    """The chunk's distinct (bytes from the place, bytes before it), in order, with the runs that have them."""
+def _distinct_suffixes(data: np.ndarray, runs: Runs, wanted: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
+    """The distinct (bytes from the place, bytes before it) of the wanted runs, in order, with the runs that have them."""
     text = data.tobytes()
-    wanted = np.flatnonzero(np.isin(runs.hash, asked)) if len(asked) else np.zeros(0, np.int64)
+    wanted = np.flatnonzero(wanted)
     found: dict[tuple[bytes, bytes], list[int]] = {}
     rows = zip(wanted.tolist(), runs.first[wanted].tolist(), runs.last[wanted].tolist(), runs.anchor[wanted].tolist(), strict=True)
     for i, first, last, anchor in rows:
@@ -292,7 +346,7 @@ def _distinct_suffixes(data: np.ndarray, runs: Runs, asked: np.ndarray) -> tuple
     return order, [found[k] for k in order]
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = CHUNK_BYTES, full: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = CHUNK_BYTES, hot_key: int = HOT, full: bool = False) -> DataFrame:
     """Per document its bytes, the bytes removed, the maximal removed runs, and the digest of what is left.
 
     Removed is each byte in a string of 200 bytes that also starts elsewhere, in the same
@@ -316,7 +370,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
             for p in np.unique(owner).tolist():
                 mine = owner == p
                 gaps = np.diff(hashes[mine], prepend=np.uint64(0))
-                out.append((int(p), zstandard.compress(gaps.tobytes() + (n[mine] > 1).astype(np.uint8).tobytes(), 1)))
+                out.append((int(p), zstandard.compress(gaps.tobytes() + np.minimum(n[mine], 65535).astype(np.uint16).tobytes(), 1)))
             text = data.tobytes()
             some = [(h, text[a : a + KEY]) for h, a in zip(hashes[:CHUNK_SAMPLE].tolist(), runs.anchor[first[:CHUNK_SAMPLE]].tolist(), strict=True)]
             out.append((SAMPLES, b"".join(h.to_bytes(8, "big") + k for h, k in some)))
@@ -340,16 +394,15 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
     bounds = sorted({keys[len(keys) * i // n_parts] for i in range(1, n_parts)}) if keys else []
 
     def answer(table: pa.Table) -> pa.Table:
-        """Which of the hashes that chunks have occur twice or more in all of them."""
+        """Which of the hashes that chunks have occur twice or more in all of them, and which are hot."""
         got = [_marked_hashes(d) for d in table.column("data").to_pylist()]
-        flat = np.concatenate([h for h, _ in got])
-        values, n = np.unique(np.concatenate([flat, *(h[m > 0] for h, m in got)]), return_counts=True)
-        twice = values[n > 1]
-        out = []
+        values, number = np.unique(np.concatenate([h for h, _ in got]), return_inverse=True)
+        times = np.bincount(number, np.concatenate([n for _, n in got]), len(values))
+        out, at = [], 0
         for h, _ in got:
-            at = np.searchsorted(twice, h)
-            bits = (at < len(twice)) & (twice[np.minimum(at, max(0, len(twice) - 1))] == h) if len(twice) else np.zeros(len(h), bool)
-            out.append(zstandard.compress(np.packbits(bits).tobytes(), 1))
+            t = times[number[at : at + len(h)]]
+            at += len(h)
+            out.append(zstandard.compress(np.packbits(np.concatenate([t > 1, t > hot_key])).tobytes(), 1))
         return table.set_column(table.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
 
     answers = asked.filter(F.col("part") != SAMPLES).groupBy("part").applyInArrow(answer, shape)
@@ -364,7 +417,8 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
 
     placed = rows.mapInArrow(place, "chunk bigint, ids array<bigint>, offsets array<bigint>, data binary")
 
-    def prepared(row: dict, told: list[dict]) -> tuple[np.ndarray, np.ndarray, Runs, list, list]:
+    def prepared(row: dict, told: list[dict]) -> tuple[np.ndarray, np.ndarray, Runs, np.ndarray]:
+        """The chunk's bytes, offsets and runs, and of each run 0, 1 if its key occurs twice, 2 if it is hot."""
         data = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
         offsets = np.array(row["offsets"], np.int64)
         if any(t["check"] != zlib.crc32(data) for t in told):
@@ -372,17 +426,26 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
         runs = Runs(data, offsets)
         hashes = np.unique(runs.hash)
         owner = ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
-        twice = [np.zeros(0, np.uint64)]
+        state = np.zeros(len(hashes), np.uint8)
         for t in told:
-            mine = hashes[owner == t["part"]]
-            bits = np.unpackbits(np.frombuffer(zstandard.decompress(t["data"]), np.uint8))[: len(mine)]
-            twice.append(mine[bits.astype(bool)])
-        return data, offsets, runs, *_distinct_suffixes(data, runs, np.concatenate(twice))
-
-    def send(places: pa.Table, told: pa.Table) -> pa.Table:
+            mine = np.flatnonzero(owner == t["part"])
+            bits = np.unpackbits(np.frombuffer(zstandard.decompress(t["data"]), np.uint8))
+            state[mine] = bits[: len(mine)] + bits[len(mine) : 2 * len(mine)]
+        return data, offsets, runs, state[np.searchsorted(hashes, runs.hash)]
+
+    def hot_strings(data: np.ndarray, runs: Runs, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of strings at hot places, the number of each among the distinct ones, these, how often they stand, and their parts."""
+        hot = np.flatnonzero(state == 2)
+        starts, hashes = string_hashes(data, runs.first[hot], runs.last[hot])
+        distinct, number, times = distinct_hashes(hashes)
+        return starts, number, distinct, times, ((distinct[:, 0] >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+
+    def tell(places: pa.Table, told: pa.Table) -> pa.Table:
+        """The chunk's sorted runs for each range, kind 1, and its hot strings for each part of their hashes, kind 2."""
         out = []
         for row in places.to_pylist():
-            data, _, _, suffixes, holders = prepared(row, told.to_pylist())
+            data, _, runs, state = prepared(row, told.to_pylist())
+            suffixes, holders = _distinct_suffixes(data, runs, state == 1)
             check = zlib.crc32(data)
             owner = [bisect_right(bounds, right[:KEY]) for right, _ in suffixes]
             at = 0
@@ -390,28 +453,50 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
                 n = sum(1 for _ in same)
                 part = range(at, at + n)
                 run = front_code([suffixes[i][0] for i in part], [suffixes[i][1] for i in part], [len(holders[i]) > 1 for i in part], list(part))
-                out.append((row["chunk"], p, check, run))
+                out.append((row["chunk"], p, check, run, 1))
                 at += n
-        kinds = [("chunk", pa.int64()), ("part", pa.int32()), ("check", pa.int64()), ("data", pa.binary())]
+            _, _, distinct, times, parts = hot_strings(data, runs, state)
+            for p in np.unique(parts).tolist():
+                mine = parts == p
+                packed = distinct[mine].T.tobytes() + (times[mine] > 1).astype(np.uint8).tobytes()
+                out.append((row["chunk"], int(p), check, zstandard.compress(packed, 1), 2))
+        kinds = [("chunk", pa.int64()), ("part", pa.int32()), ("check", pa.int64()), ("data", pa.binary()), ("kind", pa.int32())]
         return pa.table({name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate(kinds)})
 
+    def settle(table: pa.Table) -> pa.Table:
+        return (sort if table.column("kind")[0].as_py() == 1 else count)(table)
+
+    def count(table: pa.Table) -> pa.Table:
+        """Which of the hot strings that chunks have stand twice or more in all of them."""
+        got = [np.frombuffer(zstandard.decompress(d), np.uint8) for d in table.column("data").to_pylist()]
+        sizes = [len(g) // 17 for g in got]
+        hashes = np.concatenate([g[: 16 * n].view(np.uint64).reshape(2, -1).T for g, n in zip(got, sizes, strict=True)])
+        _, number, times = distinct_hashes(hashes)
+        often = np.concatenate([g[16 * n :] for g, n in zip(got, sizes, strict=True)])
+        again = (times + np.bincount(number, often, len(times)) > 1)[number]
+        out, at = [], 0
+        for n in sizes:
+            out.append(zstandard.compress(np.packbits(again[at : at + n]).tobytes(), 1))
+            at += n
+        return table.set_column(table.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
+
     def sort(table: pa.Table) -> pa.Table:
         """Merges the runs of one range and finds the repeats in it."""
         chunks = table.column("chunk").to_pylist()
         found: list[list[tuple[int, int, int]]] = [[] for _ in chunks]
         group: list[tuple[int, int, tuple]] = []
 
-        def settle() -> None:
+        def close() -> None:
             for run, number, spans in repeated_starts(group):
                 found[run].extend((number, low, high) for low, high in spans)
 
         for entry in merge_runs([decode_run(d) for d in table.column("data").to_pylist()]):
             if group and entry[1] < KEY:
-                settle()
+                close()
                 group = []
             group.append(entry)
         if group:
-            settle()
+            close()
         data = [zstandard.compress(np.array(f, np.uint32).reshape(-1, 3).T.tobytes(), 3) for f in found]
         return table.set_column(table.schema.get_field_index("data"), "data", pa.array(data, pa.binary()))
 
@@ -421,8 +506,9 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
         out = []
         for row in places.to_pylist():
             mine = [t for t in results if t["kind"] == 1]
-            data, offsets, runs, _, holders = prepared(row, [t for t in results if t["kind"] == 0])
-            if any(t["check"] != zlib.crc32(data) for t in mine):
+            data, offsets, runs, state = prepared(row, [t for t in results if t["kind"] == 0])
+            holders = _distinct_suffixes(data, runs, state == 1)[1]
+            if any(t["check"] != zlib.crc32(data) for t in results):
                 raise RuntimeError("the documents gave other rows when they were read again; write them to a table first")
             edge = np.zeros(len(data) + 1, np.int32)
             for t in mine:
@@ -430,6 +516,14 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
                     anchors = runs.anchor[holders[number]]
                     np.add.at(edge, anchors - high, 1)
                     np.add.at(edge, anchors - low + LENGTH, -1)
+            starts, number, distinct, _, parts = hot_strings(data, runs, state)
+            again = np.zeros(len(distinct), bool)
+            for t in (t for t in results if t["kind"] == 2):
+                mine = np.flatnonzero(parts == t["part"])
+                again[mine] = np.unpackbits(np.frombuffer(zstandard.decompress(t["data"]), np.uint8))[: len(mine)]
+            starts = starts[again[number]]
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
             for key, a, b in zip(row["ids"], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 cut_out = gone[a:b]
@@ -441,7 +535,8 @@ def remove_repeats(docs: DataFrame, *, id_column: str = ID, chunk_bytes: int = C
         names = [ID, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if full else 5]
         return pa.table({name: pa.array([o[i] for o in out], kinds[i]) for i, name in enumerate(names)})
 
-    suffixes = placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, shape)
-    repeats = suffixes.groupBy("part").applyInArrow(sort, shape)
-    told = answers.withColumn("kind", F.lit(0)).unionByName(repeats.withColumn("kind", F.lit(1)))
+    kinds = f"{shape}, kind int"
+    found = placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, kinds)
+    repeats = found.groupBy("kind", "part").applyInArrow(settle, kinds)
+    told = answers.withColumn("kind", F.lit(0)).unionByName(repeats)
     return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, FULL_SCHEMA if full else SCHEMA)

@@ -366,6 +366,35 @@ def test_repeats_match_brute_force(table_of, seed, chunk_bytes):
     assert all(sha(bytes(r["kept"])) == r["kept_sha256"] for r in got)
 
 
+@pytest.mark.parametrize(("seed", "chunk_bytes", "hot_key"), [(1, suffixes.CHUNK_BYTES, 1), (2, 3000, 3), (3, 700, 8)])
+def test_no_task_holds_a_hot_key(table_of, monkeypatch, seed, chunk_bytes, hot_key):
+    plain = suffixes.repeated_starts
+
+    def bounded(group, *more):
+        assert len(group) <= hot_key
+        return plain(group, *more)
+
+    monkeypatch.setattr(suffixes, "repeated_starts", bounded)
+    # a passage whose copies all have other bytes before and after
+    rng = random.Random(seed)
+    notice = "".join(rng.choice("abcdefgh ") for _ in range(170))
+    around = lambda: "".join(rng.choice("ijklmnop ") for _ in range(120))
+    rows = with_passages(seed) + [(100 + i, around() + notice + around()) for i in range(40)]
+    got = suffixes.remove_repeats(table_of(rows), chunk_bytes=chunk_bytes, hot_key=hot_key, full=True).collect()
+    assert Counter(tuple(r)[:5] for r in got) == repeats_by_hand(rows)
+
+
+def test_string_hashes_tell_strings_apart():
+    data = np.frombuffer(b"".join(t.encode() for _, t in with_passages(5)) * 2, np.uint8)
+    first, last = np.array([3, 900, 5000]), np.array([700, 4000, len(data) - suffixes.LENGTH])
+    starts, hashes = suffixes.string_hashes(data, first, last)
+    assert starts.tolist() == [i for a, b in zip(first, last, strict=True) for i in range(a, b + 1)]
+    _, number, times = suffixes.distinct_hashes(hashes)
+    strings = [data[i : i + suffixes.LENGTH].tobytes() for i in starts.tolist()]
+    assert len(set(zip(strings, number.tolist(), strict=True))) == len(set(strings)) == len(times)
+    assert times[number].tolist() == [c[s] for c in [Counter(strings)] for s in strings]
+
+
 def test_repeats_edges(edge, empty, edge_rows):
     got = Counter(tuple(r) for r in suffixes.remove_repeats(edge).collect())
     assert got == repeats_by_hand(edge_rows)
