@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, jaccard, langid, pii, quality, suffixes, toxicity, urls, warc
+from kerbside.llm import bpe, decontaminate, jaccard, langid, merkle, pii, quality, suffixes, toxicity, urls, warc
 from kerbside.llm.common import ID, documents, fold, table
 
 
@@ -65,6 +65,11 @@ def op10_repeats(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, d))
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    found = merkle.manifest(documents(spark, d))
+    return found.select(ID, "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +83,6 @@ QUERIES = {
         op8_toxicity,
         op9_jaccard,
         op10_repeats,
+        op11_merkle_manifest,
     )
 }
