@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, jaccard, langid, merkle, pii, quality, suffixes, toxicity, urls, warc
+from kerbside.llm import bpe, decontaminate, fingerprints, jaccard, langid, merkle, pii, quality, suffixes, toxicity, urls, warc
 from kerbside.llm.common import ID, documents, fold, table
 
 
@@ -70,6 +70,10 @@ def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return found.select(ID, "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,5 +88,6 @@ QUERIES = {
         op9_jaccard,
         op10_repeats,
         op11_merkle_manifest,
+        op12_fingerprints,
     )
 }
