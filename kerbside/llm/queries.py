@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, decontaminate, fingerprints, jaccard, langid, merkle, pii, quality, suffixes, toxicity, urls, warc
+from kerbside.llm import bpe, decontaminate, fingerprints, jaccard, langid, merkle, pii, quality, suffixes, toxicity, urls, warc, whitening
 from kerbside.llm.common import ID, documents, fold, table
 
 
@@ -74,6 +74,10 @@ def op12_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, d))
 
 
+def op13_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,5 +93,6 @@ QUERIES = {
         op10_repeats,
         op11_merkle_manifest,
         op12_fingerprints,
+        op13_whitening,
     )
 }
