@@ -288,6 +288,11 @@ SELECT s_suppkey AS station_id, s_nationkey AS lot_id, s_name AS name, s_acctbal
 SELECT event_id, CAST(user_id % 25 AS INTEGER) AS lot_id, event_type, ts AS recorded_at
 FROM events WHERE user_id % 25 = 3 ORDER BY ts DESC, event_id DESC LIMIT 200""",
     "lot_history_all": """
+SELECT * FROM (
+  SELECT event_id, CAST(user_id % 25 AS INTEGER) AS lot_id, event_type, ts AS recorded_at,
+         CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 25 ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn
+  FROM events) x WHERE rn <= 200""",
+    "lot_history_by_days": """
 SELECT * FROM (
   SELECT event_id, CAST(user_id % 25 AS INTEGER) AS lot_id, event_type, ts AS recorded_at,
          CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 25 ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn

@@ -158,6 +158,11 @@ def lot_history_all(spark, d):
     return lots.lot_history_all(A.usage_events(spark, d))
 
 
+@query
+def lot_history_by_days(spark, d):
+    return lots.lot_history_by_days(A.usage_events(spark, d))
+
+
 @query
 def reservation_lookup(spark, d):
     """Each session's reservation id looked up, an unknown id from each station as well."""

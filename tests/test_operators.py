@@ -356,3 +356,18 @@ def test_new_rows_take_defaults(spark):
         ("T1", 2000, "INR", "pending", None), ("T2", 10, "USD", "pending", None)]
     spot = tables.new_rows(spark.createDataFrame([("A1", "L1")], "spot_id string, lot_id string"), "spots")
     assert rows(spot) == [("A1", "L1", None, True, False)]
+
+
+def test_history_by_days_reads_from_cutoffs(spark):
+    base = T(2024, 1, 1)
+    events = spark.range(5000).select(
+        F.col("id").cast("string").alias("event_id"),
+        F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "cold").otherwise("sparse").alias("lot_id"),
+        F.when(F.col("id") == 4999, F.lit(None)).otherwise(S.as_timestamp(base) + F.make_dt_interval(days=F.col("id") % 40, secs=F.col("id") % 700)).alias("recorded_at"),
+    )
+    for k in (1, 50, 200, 2000):
+        want = sorted((r.lot_id, r.rn, r.event_id) for r in lots.lot_history_all(events, k=k).collect())
+        assert sorted((r.lot_id, r.rn, r.event_id) for r in lots.lot_history_by_days(events, k=k).collect()) == want
+    cuts = {r.lot_id: r.cutoff for r in lots.history_cutoffs(events, 50).collect()}
+    assert cuts["hot"] > base.date()
+    assert lots.lot_history_by_days(events.limit(0), 5).count() == 0

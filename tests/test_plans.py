@@ -70,3 +70,9 @@ def test_large_stations_are_not_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+
+
+def test_history_cutoff_reaches_the_scan(spark):
+    text = plan(QUERIES["lot_history_by_days"](spark, DIRECTORY))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", text)
+    assert text.count("WindowGroupLimit") >= 2
