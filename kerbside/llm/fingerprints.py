@@ -75,30 +75,54 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, *, id: str = ID, text: str = TEXT) -> DataFrame:
-    """Per row: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``, ``contained_in_edited``, ``contained_in_next``.
+    """Per row: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``, ``contained_in_edited``, ``contained_in_next``, ``next_doc_id`` (the id of the next key's row).
 
     The edited text replaces the last floor(n/3) code points of the text (null: empty) by the
     first as many of the next row's text (all of it, if shorter) in descending id order, the
-    last row followed by the first. Null ids come last, equal ids are ordered by text;
-    repeated rows are rows each. An empty table gives no rows; other columns are ignored.
+    last row followed by the first. Null ids come last, equal ids are ordered by the text's
+    sha256; repeated rows are rows each, one after the other, so all but the last copy are
+    followed by an equal text. An empty table gives no rows; other columns are ignored.
+
+    Texts move once: rows equal in (id, text) are combined where they are read and dealt
+    by that key. Order and successors are found on keys alone; each text then sends only
+    the prefix that its predecessor needs, to the predecessor's key.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("_id"), body.alias("_text"))
+    base = docs.select(F.col(id).alias("_id"), body.alias("_text")).withColumn("_sha", F.sha2("_text", 256))
+    # one key that is never null, so that rows of a null id meet in joins
+    base = base.withColumn("_key", F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_sha")))
+    keys = base.groupBy("_key").agg(F.first("_id").alias("_id"), F.first("_sha").alias("_sha"), F.count("*").alias("c"), F.max(F.length("_text")).alias("n"))
     # descending id, nulls last: the bitwise complement reverses the order and cannot overflow
-    ranked = positions(rows, F.lit(""), F.col("_id").isNull(), F.bitwise_not(F.col("_id")), F.col("_text"))
-    ranked = with_sketch(ranked.select("_id", "_text", "idx", "m"), "_text", "own")
-    nxt = ranked.select(F.col("idx").alias("_at"), F.col("_text").alias("_next"), F.col("own_kept").alias("next_kept"), F.col("own_least").alias("next_least"))
-    joined = ranked.join(nxt, ((F.col("idx") + 1) % F.col("m")) == F.col("_at"))
+    ranked = positions(keys, F.lit(""), F.col("_id").isNull(), F.bitwise_not(F.col("_id")), F.col("_sha"))
+    k = F.floor(F.col("n") / 3).cast("int")
+    step = ranked.select("idx", "m", "_key", "c", k.alias("k"))
+    pred = step.select(((F.col("idx") + 1) % F.col("m")).alias("idx"), F.col("_key").alias("pred_key"), F.col("k").alias("k_pred"))
+    links = step.join(pred, "idx").select("_key", "c", "k", "pred_key", "k_pred")
+    # both uses of the texts read the same columns, so that Spark deals them out once
+    reps = base.groupBy("_key").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"))
+    placed = with_sketch(reps.join(links, "_key"), "_text", "own")
+    sent = placed.select(
+        F.col("pred_key").alias("_key"), F.col("_id").alias("next_doc_id"), F.col("_text").substr(F.lit(1), F.col("k_pred")).alias("_next"),
+        F.col("own_kept").alias("next_kept"), F.col("own_least").alias("next_least"),
+    )
+    met = placed.join(sent, "_key")
     n = F.length("_text")
-    k = F.floor(n / 3).cast("int")
-    edited = F.concat(F.col("_text").substr(F.lit(1), n - k), F.col("_next").substr(F.lit(1), k))
-    out = with_sketch(joined.select("*", edited.alias("_edited")), "_edited", "edited")
+    head = F.col("_text").substr(F.lit(1), n - F.col("k"))
+    crossing = F.concat(head, F.col("_next"))
+    own_again = F.concat(head, F.col("_text").substr(F.lit(1), F.col("k")))
+    # c - 1 copies are followed by an equal text, the last by the next key's
+    same = F.struct(own_again.alias("_edited"), F.col("own_kept").alias("to_kept"), F.col("own_least").alias("to_least"))
+    other = F.struct(crossing.alias("_edited"), F.col("next_kept").alias("to_kept"), F.col("next_least").alias("to_least"))
+    each = F.concat(F.array_repeat(same, (F.col("c") - 1).cast("int")), F.array(other))
+    rows = met.select("_id", "_text", "own_kept", "own_least", "next_doc_id", F.explode(each).alias("e"))
+    out = with_sketch(rows.select("*", F.col("e._edited").alias("_edited")), "_edited", "edited")
     return out.select(
-        F.col("_id").alias(ID), n.cast("bigint").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
+        F.col("_id").alias(ID), F.length("_text").cast("bigint").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
         fingerprint_text(F.col("own_least"), F.col("own_kept")).alias("fingerprint"),
         fingerprint_text(F.col("edited_least"), F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("own_kept"), F.col("own_least"), F.col("edited_kept"), F.col("edited_least")).alias("near_edited"),
-        likeness(F.col("own_kept"), F.col("own_least"), F.col("next_kept"), F.col("next_least")).alias("near_next"),
+        likeness(F.col("own_kept"), F.col("own_least"), F.col("e.to_kept"), F.col("e.to_least")).alias("near_next"),
         containment(F.col("own_kept"), F.col("edited_kept")).alias("contained_in_edited"),
-        containment(F.col("own_kept"), F.col("next_kept")).alias("contained_in_next"),
+        containment(F.col("own_kept"), F.col("e.to_kept")).alias("contained_in_next"),
+        F.col("next_doc_id"),
     )
