@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import constants as K
 from kerbside.functions import scalars as S
+from kerbside.operators.prefix import max_before
 from kerbside.sources.tables import cut_lineage, drop_written
 
 WIDTH = 1 << 16
@@ -127,19 +128,11 @@ def _carry_over(df: DataFrame, keys: list[str], order: str, value: str) -> DataF
 def _reset_marks(log: DataFrame, width: int) -> DataFrame:
     """Per chunk, the last reset before it.
 
-    Chunks are carried over in blocks of ``width`` chunks and blocks in one window:
-    a block stands for ``width`` squared commands, so even 10**12 commands make
-    only some hundreds of blocks.
+    Carried over the chunks by a prefix maximum over levels of the chunk number's bits, so no
+    window holds more than 65,536 chunks, however sparse ``seq`` is.
     """
-    block = F.expr(f"chunk div {width}")
     chunks = log.groupBy("chunk").agg(F.max(F.when(F.col("command") == "reset", F.col("seq"))).alias("reset_seq"))
-    chunks = chunks.withColumn("block", block)
-    blocks = chunks.groupBy("block").agg(F.max("reset_seq").alias("reset_seq"))
-    before_block = _carry_over(blocks.withColumn("all", F.lit(0)), ["all"], "block", "reset_seq").select(
-        "block", F.col("carried").alias("before_block")
-    )
-    within = _carry_over(chunks, ["block"], "chunk", "reset_seq").join(before_block, "block", "left")
-    return within.select("chunk", F.coalesce("carried", "before_block").alias("reset_seq")).filter(
+    return max_before(chunks, "chunk", "reset_seq").select("chunk", F.col("before").alias("reset_seq")).filter(
         F.col("reset_seq").isNotNull()
     )
 

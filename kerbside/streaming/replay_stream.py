@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kerbside import schemas
 from kerbside.functions import constants as K
 from kerbside.functions import scalars as S
+from kerbside.operators.prefix import max_before
 from kerbside.sources.tables import read_rows
 
 STATE = "slot_id string, status string, listed array<string>, epoch bigint, known boolean"
@@ -78,8 +79,7 @@ def _resets_before(commands: DataFrame, since: int) -> DataFrame:
     is_reset = F.col("command") == "reset"
     chunked = commands.withColumn("chunk", F.floor(F.col("seq") / WIDTH))
     chunks = chunked.groupBy("chunk").agg(F.max(F.when(is_reset, F.col("seq"))).alias("last"))
-    # one row per chunk of WIDTH commands of the batch
-    earlier = chunks.select("chunk", F.max("last").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    earlier = max_before(chunks, "chunk", "last").select("chunk", F.col("before").alias("earlier"))
     within = F.max(F.when(is_reset, F.col("seq"))).over(Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     return chunked.withColumn("within", within).join(earlier, "chunk").select(
         *commands.columns, F.greatest(F.lit(since), F.col("earlier"), F.col("within")).alias("reset_before")

@@ -371,3 +371,17 @@ def test_history_by_days_reads_from_cutoffs(spark):
     cuts = {r.lot_id: r.cutoff for r in lots.history_cutoffs(events, 50).collect()}
     assert cuts["hot"] > base.date()
     assert lots.lot_history_by_days(events.limit(0), 5).count() == 0
+
+
+def test_max_before_over_sparse_keys(spark):
+    from kerbside.operators.prefix import max_before
+
+    rnd = random.Random(1)
+    picks = (lambda: rnd.randrange(-5, 300), lambda: rnd.randrange(0, 1 << 62), lambda: rnd.randrange(1 << 40, (1 << 40) + 70_000))
+    data = [(rnd.choice(picks)(), rnd.choice([None, rnd.randrange(1000)])) for _ in range(3000)]
+    got = {r["k"]: r["before"] for r in max_before(spark.createDataFrame(data, "k bigint, v bigint"), "k", "v").collect()}
+    want = {}
+    for k in {k for k, _ in data}:
+        values = [v for kk, v in data if kk < k and v is not None]
+        want[k] = max(values) if values else None
+    assert got == want

@@ -186,3 +186,15 @@ def test_charging_and_blocking_count_as_reservations(spark, frames):
     marks = {r.reservation_id: (r.date, r.time) for r in R.reservations_after(outcomes, log).collect()}
     assert marks == {"r0": ("CHARGING", "START"), "r4": ("ADMIN", "BLOCKED")}
     assert {r.slot_id: r.status for r in R.slots_after(outcomes, log, held).collect()} == {"C1": "Available", "A1": "Occupied"}
+
+
+def test_clock_like_seq(frames):
+    rnd = random.Random(23)
+    log, slots = any_log(rnd, 150), slot_list(rnd)
+    at = 0
+    for c in log:
+        at += rnd.randrange(1, 1 << 44)
+        c["seq"] = at
+    assert log[-1]["seq"] > 1 << 48
+    check(frames, log, slots)
+
