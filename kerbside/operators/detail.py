@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from kerbside.operators.ranking import rank_by_ranges
 from kerbside.sources.tables import append_rows
 
 KEY = "reservation_id"
@@ -52,22 +52,11 @@ def reservation_rows(reservations: DataFrame, events: DataFrame, sessions: DataF
 def _ranked(children: DataFrame, at: str, child_id: str, newest_first: bool) -> DataFrame:
     """Children with ``rank`` from 0 in the order of time and id within their reservation; no time comes last.
 
-    Rows are ranked within a day, and days start where the counts of those before them
-    end, so a busy reservation is spread over its days.
+    Ranks come from sampled ranges of (reservation, time, id), so one reservation's
+    children on one day, or all those without a time, are spread over tasks too.
     """
-    day = F.coalesce(F.col(at).cast("date"), F.lit("0001-01-01" if newest_first else "9999-12-31").cast("date"))
     turn = (lambda c: c.desc_nulls_last()) if newest_first else (lambda c: c.asc_nulls_last())
-    dated = children.withColumn("_day", day)
-    days = dated.groupBy(KEY, "_day").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(KEY).orderBy(turn(F.col("_day"))).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(KEY, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(KEY, "_day").orderBy(turn(F.col(at)), turn(F.col(child_id)))
-    return (
-        dated.withColumn("_place", F.row_number().over(within) - 1)
-        .join(days, [KEY, "_day"])
-        .withColumn("rank", F.col("_first") + F.col("_place"))
-        .drop("_day", "_place", "_first")
-    )
+    return rank_by_ranges(children, KEY, [turn(F.col(at)), turn(F.col(child_id))])
 
 
 def reservation_detail(
@@ -90,7 +79,10 @@ def reservation_detail(
         F.sort_array(F.collect_list("event")).alias("_events"), F.sort_array(F.collect_list("session")).alias("_sessions")
     )
     none = [F.array().cast(lists.schema[c].dataType) for c in ("_events", "_sessions")]
-    joined = reservations.join(lists, KEY, "left")
+    # an inner join, which Spark can split on a hot key, and the childless by an anti join on keys
+    matched = reservations.join(lists, KEY)
+    childless = reservations.join(lists.select(KEY).distinct(), KEY, "left_anti")
+    joined = matched.unionByName(childless, allowMissingColumns=True)
     return joined.select(
         KEY,
         F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),

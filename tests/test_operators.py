@@ -385,3 +385,27 @@ def test_max_before_over_sparse_keys(spark):
         values = [v for kk, v in data if kk < k and v is not None]
         want[k] = max(values) if values else None
     assert got == want
+
+
+def test_hot_reservation_day_and_null_times_are_ranked_whole(spark, family):
+    reservations, _, sessions = family
+    events = spark.range(12_000).select(
+        F.format_string("E%05d", "id").alias("event_id"),
+        F.when(F.col("id") < 11_000, "R1").otherwise("R2").alias("reservation_id"),
+        F.lit("reserved").alias("status"),
+        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(S.as_timestamp(NOW) + F.make_dt_interval(secs=F.col("id") % 500)).alias("recorded_at"),
+    )
+    got = detail.reservation_detail(reservations, events, sessions, page=1000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.reservation_id, []).append(r)
+    rows_ = events.collect()
+    for rid in ("R1", "R2"):
+        mine = [r for r in rows_ if r.reservation_id == rid]
+        timed = sorted((r for r in mine if r.recorded_at is not None), key=lambda r: (r.recorded_at, r.event_id), reverse=True)
+        untimed = sorted((r for r in mine if r.recorded_at is None), key=lambda r: r.event_id, reverse=True)
+        want = [r.event_id for r in timed + untimed]
+        pages = sorted(by[rid], key=lambda r: r.part)
+        assert [e.event_id for p in pages for e in p.events] == want
+        assert all(len(p.events) <= 1000 for p in pages)
+    assert by["R3"][0].events == [] and by["R3"][0].part == 0
