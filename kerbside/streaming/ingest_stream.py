@@ -178,23 +178,29 @@ def start_metrics_stream(
 
 
 def daily_metrics_stream(
-    reservations: DataFrame, sessions: DataFrame, stations: DataFrame, watermark: str | None = None
+    reservations: DataFrame, sessions: DataFrame, stations: DataFrame, watermark: str | None = None, samples: DataFrame | None = None
 ) -> DataFrame:
     """Daily metrics over streams of accepted facts, for update or complete mode.
 
     Without a watermark every day stays open, as late and future facts must count. A
     ``watermark`` bounds the state and drops facts that come later than it allows.
+    With a stream of occupancy ``samples``, each (lot, day) also carries the sample of the
+    greatest arrival number so far (``avg_occupancy_percent``): the state keeps value and
+    arrival, so a late sample with a smaller arrival never replaces a newer one.
     """
-    both = append_rows(
-        metrics.reservation_deltas(reservations), metrics.session_deltas(metrics.with_station_lot(sessions, stations))
-    )
+    parts = [metrics.reservation_deltas(reservations), metrics.session_deltas(metrics.with_station_lot(sessions, stations))]
+    if samples is not None:
+        parts.append(metrics.occupancy_deltas(samples))
+    both = append_rows(*parts)
     day = F.col("w.start").cast("date")
     if watermark:
         # Watermarks need an instant.
         both = both.withColumn("at", S.as_instant(F.col("at"))).withWatermark("at", watermark)
         day = S.utc_day(S.as_utc(F.col("w.start")))
+    last = [F.max_by("avg_occupancy_percent", "occupancy_seq").alias("avg_occupancy_percent")] if samples is not None else []
+    out = ["avg_occupancy_percent"] if samples is not None else []
     return (
         both.groupBy("lot_id", F.window("at", "1 day").alias("w"))
-        .agg(*[F.sum(c).alias(c) for c in metrics.COUNTS])
-        .select("lot_id", day.alias("day"), *metrics.COUNTS)
+        .agg(*[F.sum(c).alias(c) for c in metrics.COUNTS], *last)
+        .select("lot_id", day.alias("day"), *metrics.COUNTS, *out)
     )
