@@ -409,3 +409,34 @@ def test_hot_reservation_day_and_null_times_are_ranked_whole(spark, family):
         assert [e.event_id for p in pages for e in p.events] == want
         assert all(len(p.events) <= 1000 for p in pages)
     assert by["R3"][0].events == [] and by["R3"][0].part == 0
+
+
+def test_children_move_once_in_reservation_detail(spark, family):
+    """One shuffle for the children of both kinds and one for their reservations, none for ranks, pages or the join."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = detail.reservation_detail(*family)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "rangepartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_large_reservations_are_paged_as_small_ones(spark, family):
+    """Both ways of ranking, by key and by ranges, give the same pages; null keys, repeated and childless reservations included."""
+    reservations, _, sessions = family
+    reservations = reservations.unionByName(reservations.filter("reservation_id = 'R1'")).unionByName(
+        reservations.limit(1).withColumn("reservation_id", F.lit(None).cast("string"))
+    )
+    at = F.when(F.col("id") % 7 > 0, S.as_timestamp(NOW) + F.make_dt_interval(secs=F.col("id") % 50))
+    key = F.when(F.col("id") < 700, "R1").when(F.col("id") < 760, "R2").when(F.col("id") < 780, "R-unknown")
+    events = spark.range(800).select(
+        F.format_string("E%05d", "id").alias("event_id"), key.alias("reservation_id"), F.lit("reserved").alias("status"), at.alias("recorded_at")
+    )
+    found = [
+        sorted(detail.reservation_detail(reservations, events, sessions, page=50, hot=hot).collect(), key=str) for hot in (1, 100, 100_000)
+    ]
+    assert found[0] == found[1] == found[2]
+    parts = [(r.reservation_id, r.part) for r in found[0]]
+    assert sorted(parts, key=str) == sorted([("R1", k) for k in range(14) for _ in (1, 2)] + [("R2", 0), ("R2", 1), ("R3", 0), (None, 0)], key=str)
