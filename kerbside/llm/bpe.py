@@ -1,6 +1,6 @@
 """Byte-level BPE encoding by a distinct-word table, and decoding through an id-to-piece table.
 
-Three steps. Tasks split texts into words and send each chunk's distinct words to the
+Three steps. Tasks cut texts at blanks, split each distinct piece into words once and send each chunk's distinct words to the
 part of the word table that owns them. There each distinct word is encoded once, and
 its ids go back to every chunk that asked. Chunks hold their texts as places in their
 own word list, so ids join back by position; texts themselves are not shuffled.
@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property, lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from kerbside.llm.common import ID, TEXT, sha256_hex, slices
 CHUNK_BYTES = 8 << 20
 REMEMBERED = 2_000_000
 
+#: A blank that does not start a word: another blank or the end follows.
+BLANKS = re.compile(r" (?:\s|\Z)")
+
 SCHEMA = f"{ID} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 FULL_SCHEMA = f"{SCHEMA}, ids array<int>, decoded string"
 
@@ -48,33 +54,41 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """A tokenizer file: the encoder for single words, the split, the pieces by id."""
+    """A tokenizer file: the encoder for single words, the split, the pieces by id; each is made when first asked for."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.no_truncation()
-        self.encoder.no_padding()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        letters = byte_letters()
-        size = 1 + max([*spec["model"]["vocab"].values(), *self.special.values()])
-        pieces = [b""] * size
-        for piece, i in spec["model"]["vocab"].items():
-            pieces[i] = bytes(letters[c] for c in piece)
-        for piece, i in self.special.items():
-            pieces[i] = piece.encode()
-        #: The id-to-piece table, and each id as decimal text with a comma.
-        self.pieces = pa.array(pieces, pa.large_binary())
-        self.decimals = pa.array([f"{i}," for i in range(size)], pa.large_string())
+        self.plain = spec["model"]["vocab"]
+        self.size = 1 + max([*self.plain.values(), *self.special.values()])
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.words = regex.compile(split)
         self.marks = regex.compile(f"({marks})") if marks else None
 
+    @cached_property
+    def encoder(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(self.path)
+        encoder.no_truncation()
+        encoder.no_padding()
+        return encoder
+
+    @cached_property
+    def tables(self) -> tuple[pa.Array, pa.Array]:
+        """The id-to-piece table, and each id as decimal text with a comma."""
+        letters = byte_letters()
+        pieces = [b""] * self.size
+        for piece, i in self.plain.items():
+            pieces[i] = bytes(letters[c] for c in piece)
+        for piece, i in self.special.items():
+            pieces[i] = piece.encode()
+        return pa.array(pieces, pa.large_binary()), pa.array([f"{i}," for i in range(self.size)], pa.large_string())
+
     def split(self, text: str) -> list[str]:
         """The text's words, in order; special tokens are words of their own, as the library has it."""
         if self.marks is None or not self.marks.search(text):
@@ -82,10 +96,37 @@ class Vocabulary:
         parts = self.marks.split(text)
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words.findall(part))]
 
+    def units(self, text: str) -> list[str]:
+        """The text in pieces, in order, whose words by ``words_of``, one after the other, are the text's words.
+
+        A word takes a blank in front but none behind, and a blank before anything but a
+        blank starts a word. So a text falls apart there, and each distinct piece need be
+        split only once. A unit that starts with a blank is one word, behind that blank;
+        any other lost the blank that stood before it.
+        """
+        if BLANKS.search(text) or (self.marks is not None and self.marks.search(text)):
+            return [" " + w for w in self.split(text)]
+        units = text.split(" ")
+        units[:1] = [" " + w for w in self.words.findall(units[0])]
+        return units
+
+    def words_of(self, unit: str) -> list[str]:
+        return [unit[1:]] if unit[0] == " " else self.words.findall(" " + unit)
+
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
 
 
+@lru_cache(2)
+def _vocabulary(path: str, changed: int) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def vocabulary_of(path: str) -> Vocabulary:
+    """The file's vocabulary, read once by each Python worker as long as the file does not change."""
+    return _vocabulary(path, os.stat(path).st_mtime_ns)
+
+
 def pack(words: list[str]) -> bytes:
     """Words as lengths and text, compressed. Decoded text keeps any character, also blanks and line ends."""
     raw = [w.encode() for w in words]
@@ -102,7 +143,7 @@ def unpack(data: bytes) -> list[str]:
 
 
 def _id_type(vocabulary: Vocabulary) -> type:
-    return np.uint16 if len(vocabulary.pieces) <= 1 << 16 else np.uint32
+    return np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -120,10 +161,35 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tup
         yield base + n, held
 
 
-def _words_of(vocabulary: Vocabulary, parts: list[pa.RecordBatch]) -> tuple[list[str], list[list[str]]]:
-    """The chunk's distinct words in sorted order, and each text's words."""
-    texts = [vocabulary.split(t or "") for part in parts for t in part.column("_text").to_pylist()]
-    return sorted(set(chain.from_iterable(texts))), texts
+def _units(vocabulary: Vocabulary, parts: list[pa.RecordBatch]) -> Iterator[list[str]]:
+    return (vocabulary.units(t or "") for part in parts for t in part.column("_text").to_pylist())
+
+
+def _distinct_words(vocabulary: Vocabulary, parts: list[pa.RecordBatch]) -> list[str]:
+    """The chunk's distinct words in sorted order."""
+    units = set(chain.from_iterable(_units(vocabulary, parts)))
+    return sorted(set(chain.from_iterable(map(vocabulary.words_of, units))))
+
+
+def _placed_words(vocabulary: Vocabulary, parts: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The chunk's distinct words in sorted order, the place among them of each word of the texts, and the number of words by text."""
+    number, per_text = defaultdict(count().__next__), []
+
+    def numbers() -> Iterator[int]:
+        for units in _units(vocabulary, parts):
+            per_text.append(len(units))
+            yield from map(number.__getitem__, units)
+
+    unit = np.fromiter(numbers(), np.int64)
+    split = [vocabulary.words_of(u) for u in number]
+    words = sorted(set(chain.from_iterable(split)))
+    place = dict(zip(words, range(len(words)), strict=True))
+    flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.uint32)
+    n = np.fromiter(map(len, split), np.int64, len(split))
+    each = n[unit]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    places = flat[np.repeat((np.cumsum(n) - n)[unit] - upto[:-1], each) + np.arange(upto[-1])]
+    return words, places, np.diff(upto[np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])])
 
 
 def _owners(words: list[str], n_parts: int) -> np.ndarray:
@@ -148,9 +214,9 @@ def encode_decode(
     rows = docs.select(F.col(id_column).cast("bigint").alias(ID), F.col(TEXT).alias("_text"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = vocabulary_of(path)
         for chunk, parts in _chunks(batches, chunk_bytes):
-            words, _ = _words_of(vocabulary, parts)
+            words = _distinct_words(vocabulary, parts)
             owner = _owners(words, n_parts)
             asked = [(p, pack([words[i] for i in np.flatnonzero(owner == p)])) for p in np.unique(owner).tolist()]
             yield pa.record_batch(
@@ -159,7 +225,7 @@ def encode_decode(
             )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = Vocabulary(path)  # the task's own: its encoder is large, and given back with the task
         kind = _id_type(vocabulary)
         known: dict[str, list[int]] = {}
         for batch in batches:
@@ -182,12 +248,9 @@ def encode_decode(
                 )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = vocabulary_of(path)
         for chunk, parts in _chunks(batches, chunk_bytes):
-            words, texts = _words_of(vocabulary, parts)
-            number = {w: i for i, w in enumerate(words)}
-            places = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.uint32)
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            words, places, sizes = _placed_words(vocabulary, parts)
             owner = _owners(words, n_parts).astype(np.uint32)
             checks = {p: zlib.crc32(pack([words[i] for i in np.flatnonzero(owner == p)])) for p in np.unique(owner).tolist()}
             keys = pa.concat_arrays([p.column(ID).combine_chunks() if isinstance(p.column(ID), pa.ChunkedArray) else p.column(ID) for p in parts])
@@ -204,7 +267,7 @@ def encode_decode(
             )
 
     def join(places: pa.Table, answers: pa.Table) -> pa.Table:
-        vocabulary = Vocabulary(path)
+        vocabulary = vocabulary_of(path)
         kind = _id_type(vocabulary)
         out = []
         for row in places.to_pylist():
@@ -266,7 +329,7 @@ def _documents(vocabulary, row, places, starts, lengths, table, full) -> pa.Reco
         n = lengths[word]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = table[np.repeat(starts[word] - upto[:-1], n) + np.arange(upto[-1])]
-        pieces, decimals = vocabulary.pieces.take(pa.array(ids)), vocabulary.decimals.take(pa.array(ids))
+        pieces, decimals = (t.take(pa.array(ids)) for t in vocabulary.tables)
         p_offsets, p_data = _joined(pieces)
         d_offsets, d_data = _joined(decimals)
         for i in range(at, stop):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -359,3 +360,23 @@ def test_personal_data(spark, edge, empty, edge_rows, table_of):
     assert masked.columns[:2] == ["doc_id", "text"]
     got = {r[0]: r[1] for r in masked.collect()}
     assert got == {1: 'Mail [EMAIL], IBAN: [ACCOUNT], see [ADDRESS] and token = "[SECRET]"', 2: None, 3: "clean"}
+
+
+def test_units_give_the_words_of_the_text_and_are_split_once():
+    vocabulary = bpe.Vocabulary(bpe.default_tokenizer())
+    rnd = random.Random(5)
+    parts = ["a", "Zb", "7", "'s", "'", "’ll", ".", "\n", "\t", " ", " ", " ", " ", " ", "\x1c", "　", "é", "中", "<|endoftext|>", "ab."]
+    texts = ["", " ", " a", "a ", *("".join(rnd.choices(parts, k=rnd.randrange(1, 12))) for _ in range(20_000))]
+    for text in texts:
+        assert [w for u in vocabulary.units(text) for w in vocabulary.words_of(u)] == vocabulary.split(text), repr(text)
+
+    text, seen = "all of these words come again, all of these " * 500, []
+    vocabulary.words_of = lambda unit: seen.append(unit) or bpe.Vocabulary.words_of(vocabulary, unit)
+    batch = pa.record_batch([pa.array([text, None, text])], ["_text"])
+    words, places, sizes = bpe._placed_words(vocabulary, [batch])
+    assert [words[i] for i in places] == vocabulary.split(text) * 2 and sizes.tolist() == [len(places) // 2, 0, len(places) // 2]
+    assert len(seen) < 20
+
+
+def test_vocabulary_is_read_once_by_a_process():
+    assert bpe.vocabulary_of(bpe.default_tokenizer()) is bpe.vocabulary_of(bpe.default_tokenizer())
