@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import ID, TEXT, sha256_hex, slices
+from kerbside.llm.common import ID, TEXT, give_back, sha256_hex, slices
 
 #: Bytes of text in a chunk, and distinct words that a part of the word table remembers before it starts anew.
 CHUNK_BYTES = 8 << 20
@@ -246,6 +246,9 @@ def encode_decode(
                     [pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([check], pa.int64()), pa.array([data], pa.binary())],
                     ["chunk", "part", "check", "ids"],
                 )
+        del vocabulary
+        known.clear()
+        give_back()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(path)
@@ -290,6 +293,7 @@ def encode_decode(
                 raise RuntimeError("the documents gave other rows when they were read again; write them to a table first")
             table = np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64)
             out.append(_documents(vocabulary, row, _stretch(row["places"]), starts, lengths, table, full))
+        give_back()
         return pa.Table.from_batches(out)
 
     answers = (

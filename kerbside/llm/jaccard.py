@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbside.llm.common import ID, SLICE_BYTES, TEXT, cut, slices, text_bytes
+from kerbside.llm.common import ID, SLICE_BYTES, TEXT, cut, give_back, slices, text_bytes
 from kerbside.llm.words import mix, shingle_sets
 
 #: 100 * intersection >= PERCENT * union.
@@ -33,6 +33,8 @@ WIDTH = 5
 BITS = 1024
 #: A shingle counts as frequent if this many documents of a slice hold it; how many frequent ones are ranked.
 FREQUENT, RANKED = 3, 1 << 20
+#: Bytes of text whose shingles are hashed at once; arrays of words and hashes take about 40 times as much.
+HASHED_BYTES = SLICE_BYTES // 4
 #: Rows of a tile.
 TILE = 512
 #: How many of its set's shared shingles before its own a row of a tile knows.
@@ -127,6 +129,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(ID).cast("bigint").alias(ID), F.col(TEXT).alias("_text"))
 
 
+def _sets(part: pa.RecordBatch) -> list[np.ndarray]:
+    """The sets of the part's rows, some texts at a time."""
+    return [s for some in slices(iter([part]), "_text", HASHED_BYTES) for s in shingle_sets(*text_bytes(some, "_text"), WIDTH)]
+
+
 def _described(rows: DataFrame) -> DataFrame:
     """Per document: rid, id, size and number of its set (null when empty), signature.
 
@@ -137,7 +144,7 @@ def _described(rows: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rid", ID, "n", "sid", "signature", "frequent"]
         for part in slices(batches, "_text"):
-            sets = shingle_sets(*text_bytes(part, "_text"), WIDTH)
+            sets = _sets(part)
             yield pa.record_batch(
                 [
                     part.column("rid"), part.column(ID), pa.array([len(s) for s in sets], pa.int64()),
@@ -187,7 +194,7 @@ def _prefixes(rows: DataFrame, order: Order, needed: tuple[np.ndarray, int] | No
         marked, shift = None, np.uint64(0)
         if needed:
             marked, shift = np.unpackbits(needed[0]).astype(bool), np.uint64(64 - needed[1].bit_length() + 1)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", HASHED_BYTES):
             found, owners, places = [], [], []
             for s in shingle_sets(*text_bytes(part, "_text"), WIDTH):
                 if not len(s) or (sid := set_id(s)) in sent:
@@ -265,7 +272,7 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", HASHED_BYTES):
             sets = shingle_sets(*text_bytes(part, "_text"), WIDTH)
             fine = pa.array([fine_signature(s) for s in sets], pa.binary())
             yield pa.record_batch([part.column("sid"), pa.array([len(s) for s in sets], pa.int64()), fine], ["sid", "n", "fine"])
@@ -274,6 +281,7 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = [fine_enough(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "fa", "fb")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     sketches = cut(held.mapInArrow(sketch, "sid bigint, n bigint, fine binary"))
     side = lambda x: sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
@@ -300,6 +308,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = (_words(batch.column(c)) for c in ("sa", "sb"))
             keep = enough(most_common(a, b, na, nb), na, nb) & ((rank <= 2) | (times >= least_shared(na, nb)))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -526,6 +535,8 @@ def _met(shared: DataFrame, sets: DataFrame) -> DataFrame:
             held.append(tuple(c[at:] for c in read))
         if held:
             yield from pairs()
+            held = []
+        give_back()
 
     return plain.repartition("token", "pair").sortWithinPartitions("token", "pair", "n", "sid").mapInArrow(tile, "a bigint, b bigint")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import ID, TEXT, give_back, slices
+from kerbside.llm.common import ID, SLICE_BYTES, TEXT, give_back, slices
 
 #: Letters of a subsequence, alphabet (blank-free), weight of a spanned letter.
 P, ALPHABET, DECAY = 4, 39, 0.7
@@ -34,6 +34,8 @@ MINED = 60_000
 LEAST = 3
 THRESHOLD = 0.7
 CACHE = 100_000
+#: Bytes of text that are held as words at once.
+WORDS_BYTES = SLICE_BYTES // 4
 
 SCHEMA = f"{ID} bigint, score double, predicted int"
 #: Signs that stand for letters.
@@ -339,7 +341,7 @@ def explaining(documents: list[list[str]], clean: dict[str, int], least: int = L
 def _scored(docs: DataFrame, machine: Machine | None):
     def scores(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         scorer = Scorer(machine) if machine else None
-        for part in slices(batches, text):
+        for part in slices(batches, text, WORDS_BYTES):
             texts = part.column(text).to_pylist()
             yield part, machine.probability(scorer.margins(texts)) if machine else np.zeros(len(texts))
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -461,3 +462,13 @@ def test_pipeline_stages(spark):
     assert set(rows["bpe"]) == set(rows["personal_data"]) == clean
     assert all(rows["bpe"][i]["decoded_sha256"] == sha(rows["personal_data"][i]["text"].encode()) for i in clean)
     assert decontaminate.WIDTH == 13 and p.run(spark, DIRECTORY).count() == len(clean)
+
+
+def test_shingles_are_hashed_a_few_texts_at_a_time(monkeypatch):
+    texts = [None, "", *(" ".join(f"w{(i * k) % 9973}" for k in range(15_000)) for i in range(1, 30))]
+    part = pa.record_batch([pa.array(texts)], ["_text"])
+    whole, seen = jaccard.shingle_sets(*jaccard.text_bytes(part, "_text"), jaccard.WIDTH), []
+    hashed = jaccard.shingle_sets
+    monkeypatch.setattr(jaccard, "shingle_sets", lambda data, offsets, width: seen.append(len(data)) or hashed(data, offsets, width))
+    assert [s.tolist() for s in jaccard._sets(part)] == [s.tolist() for s in whole]
+    assert sum(seen) > 2 << 20 and max(seen) <= jaccard.HASHED_BYTES
